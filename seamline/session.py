@@ -47,3 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder, so that later stages neither recompute nor depend on one executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows read back from a Parquet table in the shared folder: later reads take only the columns they need."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
