@@ -19,7 +19,7 @@ from seamline.session import written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS = 32
+BANDS = 40
 ROWS = 4
 #: A bucket larger than this is compared in blocks of this size, in tasks of their own.
 BUCKET_BLOCK = 2048

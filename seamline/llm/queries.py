@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import near_duplicates, term_counts
+from seamline.llm import containers, functions, mixing, near_duplicates, splitting, term_counts, vector_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,3 +73,91 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     """The group of every chunk."""
     return near_duplicates.near_groups(table(spark, sf, "chunks"), **P6).select(F.col("id").alias("chunk_id"), "group_id", "links")
+
+
+# --- 2: most similar vectors ---------------------------------------------------------------------------------
+
+
+@query
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of chunks of which one is among the ten nearest of the other."""
+    pairs = vector_forest.neighbour_pairs(vector_forest.nearest(table(spark, sf, "chunk_vectors"), k=10, dim=64))
+    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+@query
+def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of every usable vector with their similarity."""
+    found = vector_forest.nearest(table(spark, sf, "chunk_vectors"), k=10, dim=64)
+    return found.select(F.col("id").alias("chunk_id"), "rank", F.col("neighbour").alias("near_id"), "similarity")
+
+
+# --- 4: splitting at natural boundaries ----------------------------------------------------------------------
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of all source files above 2,000 characters."""
+    pieces = splitting.split_records(table(spark, sf, "source_files"), "file_id", "content", "path")
+    return pieces.select(F.col("id").alias("file_id"), "start_index", "end_index")
+
+
+@query
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pieces with their text."""
+    pieces = splitting.split_records(table(spark, sf, "source_files"), "file_id", "content", "path")
+    return pieces.withColumnRenamed("id", "file_id")
+
+
+# --- 5: functions with their documentation -------------------------------------------------------------------
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions with telling documentation."""
+    return functions.function_pairs(table(spark, sf, "source_files")).select("file_id", "func_name", "line_no")
+
+
+@query
+def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Code and description of these functions."""
+    return functions.function_pairs(table(spark, sf, "source_files"))
+
+
+# --- 7: filling containers -----------------------------------------------------------------------------------
+
+
+@query
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of every document, with the tokens of it that go there."""
+    return containers.fill_containers(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers are."""
+    return containers.fill_report(containers.fill_containers(table(spark, sf, "documents")))
+
+
+# --- 8: mixing sources ---------------------------------------------------------------------------------------
+
+
+@query
+def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixture, each row with the target share of its source and the share reached."""
+    documents = table(spark, sf, "documents")
+    return mixing.mixture(documents, mixing.plan_mixture(documents, table(spark, sf, "mix_targets"))).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target share, reached share and tokens of every source."""
+    documents = table(spark, sf, "documents")
+    return mixing.plan_mixture(documents, table(spark, sf, "mix_targets")).frame(documents).drop("cdf")
+
+
+@query
+def p8_shares_full_size(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for a mixture as large as the collection, in which scarce sources stop at their cap."""
+    documents = table(spark, sf, "documents")
+    return mixing.plan_mixture(documents, table(spark, sf, "mix_targets"), size="all").frame(documents).drop("cdf")
