@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import containers, functions, mixing, near_duplicates, splitting, term_counts, vector_forest
+from seamline.llm import containers, encodings, functions, mixing, near_duplicates, splitting, term_counts, vector_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,3 +161,18 @@ def p8_shares_full_size(spark: SparkSession, sf: str) -> DataFrame:
     """The same for a mixture as large as the collection, in which scarce sources stop at their cap."""
     documents = table(spark, sf, "documents")
     return mixing.plan_mixture(documents, table(spark, sf, "mix_targets"), size="all").frame(documents).drop("cdf")
+
+
+# --- 9: text read in a wrong encoding ------------------------------------------------------------------------
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a passage read in a wrong encoding."""
+    return encodings.garbled_records(table(spark, sf, "documents")).select(F.col("id").alias("doc_id"))
+
+
+@query
+def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """These documents with the text restored."""
+    return encodings.restored_records(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
