@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import containers, encodings, functions, mixing, near_duplicates, splitting, term_counts, vector_forest
+from seamline.llm import containers, encodings, functions, mixing, near_duplicates, source_origin, splitting, term_counts, vector_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -176,3 +176,19 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
     """These documents with the text restored."""
     return encodings.restored_records(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+# --- 1: files not written by hand ----------------------------------------------------------------------------
+
+
+@query
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Source files that are generated, packed, copied or data."""
+    origins = source_origin.file_origins(table(spark, sf, "source_files"), table(spark, sf, "upstream_files"))
+    return origins.where("generated or packed or data or vendored").select("file_id")
+
+
+@query
+def p1_origins(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source file with what it was found to be."""
+    return source_origin.file_origins(table(spark, sf, "source_files"), table(spark, sf, "upstream_files"))
