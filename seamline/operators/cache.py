@@ -14,7 +14,7 @@ def split_by_cache(questions: DataFrame, cache: DataFrame, k: int, mode: str, in
     A cached list is used only for the same text, k, mode and index version.
     """
     asked = questions.select("question_id", F.col("question").alias("query"))
-    mine = cache.where((F.col("k") == k) & (F.col("mode") == mode) & (F.col("index_version") == index_version))
+    mine = cache.where((F.col("k") == k) & (F.col("mode") == mode) & (F.col("index_version") == index_version)).select("query", "rank", "chunk_id", "score")
     hits = asked.join(mine, "query").select("question_id", "rank", "chunk_id", "score")
     missed = asked.join(mine.select("query").distinct(), "query", "left_anti").select("question_id", F.col("query").alias("question"))
     return hits, missed

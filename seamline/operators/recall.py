@@ -26,10 +26,10 @@ def gold_hits(gold: DataFrame, hits: DataFrame, k: int, threshold: float = IOU_T
     cover it, and one hit may cover several.
     """
     best = hits.where(F.col("rank") < k).select("question_id", "file_path", "start_index", "end_index").distinct()
-    keys = ["question_id", "gold_id", "file_path", "first_character_index", "last_character_index"]
+    gold = gold.select("question_id", "gold_id", "file_path", "first_character_index", "last_character_index")
     overlap = iou(F.col("first_character_index"), F.col("last_character_index"), F.col("start_index"), F.col("end_index"))
     found = gold.join(best, ["question_id", "file_path"]).where(overlap >= F.lit(threshold)).select("question_id", "gold_id").distinct().withColumn("hit", F.lit(1))
-    return gold.select(*keys).join(found, ["question_id", "gold_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return gold.join(found, ["question_id", "gold_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
 
 
 def recall_per_question(questions: DataFrame, hits: DataFrame, k: int, threshold: float = IOU_THRESHOLD) -> DataFrame:

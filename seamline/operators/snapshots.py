@@ -20,7 +20,7 @@ def file_hashes(files: DataFrame) -> DataFrame:
 def changed_paths(old: DataFrame, new: DataFrame) -> DataFrame:
     """Paths of `new` that `old` lacks or holds with another hash. Both: (file_path, content_md5)."""
     before = old.select("file_path", F.col("content_md5").alias("old_md5"), F.lit(True).alias("known"))
-    joined = new.join(before, "file_path", "left")
+    joined = new.select("file_path", "content_md5").join(before, "file_path", "left")
     return joined.where(F.col("known").isNull() | ~F.col("old_md5").eqNullSafe(F.col("content_md5"))).select("file_path")
 
 
@@ -47,18 +47,18 @@ def assign_ids(rows: DataFrame, high_water: DataFrame, order_by: str = "start_in
     high_water: one row with column top. Ids come from a prefix sum over the counts per file plus the place in the
     file, so no stage sorts all rows in one task; the prefix sum itself handles one row per file, in ranges.
     """
-    place = F.row_number().over(Window.partitionBy("file_path").orderBy(order_by))
-    counts = rows.groupBy("file_path").agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("file_path").withColumn("part", F.spark_partition_id())
     from seamline.session import cut
 
-    ranged = cut(ranged)  # the ranges come from a sample: they must not be drawn twice
+    place = F.row_number().over(Window.partitionBy("file_path").orderBy(order_by))
+    counts = rows.groupBy("file_path").agg(F.count("*").alias("n"))
+    # The ranges come from a sample: they are drawn once.
+    ranged = cut(counts.repartitionByRange("file_path").withColumn("part", F.spark_partition_id()))
     totals = ranged.groupBy("part").agg(F.sum("n").alias("total"))
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before_part"))  # one row per partition
+    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("earlier"))  # one row per partition
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("file_path")) - F.col("n")
-    offsets = ranged.withColumn("inside", inside).join(F.broadcast(before), "part").select("file_path", (F.col("before_part") + F.col("inside")).alias("offset"))
-    numbered = rows.withColumn("place", place).join(offsets, "file_path").crossJoin(F.broadcast(high_water.select("top")))
-    return numbered.withColumn(id_col, (F.col("top") + F.col("offset") + F.col("place")).cast("bigint")).drop("top", "offset", "place")
+    offsets = ranged.withColumn("inside", inside).join(F.broadcast(before), "part").select("file_path", (F.col("earlier") + F.col("inside")).alias("__offset"))
+    numbered = rows.withColumn("__place", place).join(offsets, "file_path").crossJoin(F.broadcast(high_water.select(F.col("top").alias("__top"))))
+    return numbered.withColumn(id_col, (F.col("__top") + F.col("__offset") + F.col("__place")).cast("bigint")).drop("__top", "__offset", "__place")
 
 
 def merge_rows(old_rows: DataFrame, new_rows: DataFrame, affected: DataFrame) -> DataFrame:
