@@ -41,8 +41,8 @@ def p3_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p3_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    """Every sequence of up to three terms with its occurrences and chunks."""
-    return term_counts.ngram_counts(term_counts.distinct_records(table(spark, sf, "chunks")), sigma=3).where(F.col("n") > 0)
+    """Every sequence of up to two terms with its occurrences and chunks."""
+    return term_counts.ngram_counts(term_counts.distinct_records(table(spark, sf, "chunks")), sigma=2).where(F.col("n") > 0)
 
 
 _TERMS = r"""te AS (SELECT id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}_]{2,}')) AS term FROM (SELECT id, any_value(content) AS content FROM chunks WHERE content IS NOT NULL GROUP BY id)),
@@ -53,7 +53,7 @@ ORACLES["p3_found"] = f"WITH {_TERMS} SELECT term, mark FROM ma WHERE mark IS NO
 ORACLES["p3_terms"] = f"WITH {_TERMS} SELECT term, cf, df, mark FROM ma"
 ORACLES["p3_ngrams"] = r"""WITH ch AS (SELECT id, regexp_extract_all(lower(any_value(content)), '[\p{L}\p{N}_]{2,}') AS w FROM chunks WHERE content IS NOT NULL GROUP BY id),
 po AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM ch),
-gr AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS ngram, n FROM po, (VALUES (1), (2), (3)) AS t(n) WHERE i + n - 1 <= len(w))
+gr AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS ngram, n FROM po, (VALUES (1), (2)) AS t(n) WHERE i + n - 1 <= len(w))
 SELECT ngram, n, count(*) AS cf, count(DISTINCT id) AS df FROM gr GROUP BY ngram, n"""
 
 
@@ -75,6 +75,13 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_groups(table(spark, sf, "chunks"), **P6).select(F.col("id").alias("chunk_id"), "group_id", "links")
 
 
+ORACLES["p6_found"] = r"""WITH w AS (SELECT id, regexp_extract_all(lower(any_value(content)), '[\p{L}\p{N}_]+') AS w FROM chunks WHERE content IS NOT NULL GROUP BY id),
+g AS (SELECT DISTINCT id, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+c AS (SELECT a.id AS i, b.id AS j, count(*) AS k FROM g a JOIN g b ON a.h = b.h AND a.id < b.id GROUP BY ALL)
+SELECT i AS chunk_id_a, j AS chunk_id_b FROM c JOIN n x ON x.id = i JOIN n y ON y.id = j WHERE k::DOUBLE / (x.n + y.n - k) >= 0.6::DOUBLE"""
+
+
 # --- 2: most similar vectors ---------------------------------------------------------------------------------
 
 
@@ -92,6 +99,11 @@ def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("chunk_id"), "rank", F.col("neighbour").alias("near_id"), "similarity")
 
 
+ORACLES["p2_found"] = """WITH v AS (SELECT chunk_id, any_value(embedding)::DOUBLE[] AS e FROM chunk_vectors WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY chunk_id),
+s AS (SELECT a.chunk_id AS i, b.chunk_id AS j, list_cosine_similarity(a.e, b.e) AS c FROM v a, v b WHERE a.chunk_id <> b.chunk_id)
+SELECT DISTINCT least(i, j) AS chunk_id_a, greatest(i, j) AS chunk_id_b FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY c DESC) AS place FROM s) WHERE place <= 10"""
+
+
 # --- 4: splitting at natural boundaries ----------------------------------------------------------------------
 
 
