@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,8 +95,8 @@ def _repeated_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _emit_bands(cells: np.ndarray):
-    """(bucket, digest, side, signature) rows; a text in a split bucket goes to all pairs of blocks with its own."""
-    schema = pa.schema([("bucket", pa.int64()), ("digest", pa.int64()), ("side", pa.int8()), ("signature", pa.binary())])
+    """(bucket, digest, side, component, signature) rows; a text in a split bucket goes to all pairs of blocks with its own."""
+    schema = pa.schema([("bucket", pa.int64()), ("digest", pa.int64()), ("side", pa.int8()), ("component", pa.int64()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -105,23 +106,24 @@ def _emit_bands(cells: np.ndarray):
                 continue
             n, bands = keys.shape
             flat, owner = keys.ravel(), np.repeat(np.arange(n), bands)
+            component = batch.column(3).take(pa.array(fresh))  # null: a component of its own
             parts = cells[mix(flat.view(np.uint64)) % np.uint64(HOT_CELLS)]
             plain = parts < 2
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[plain]), pa.array(digest[owner[plain]]), pa.array(np.zeros(plain.sum(), np.int8)), pa.nulls(int(plain.sum()), pa.binary())], schema=schema
+                [pa.array(flat[plain]), pa.array(digest[owner[plain]]), pa.array(np.zeros(plain.sum(), np.int8)), component.take(pa.array(owner[plain])), pa.nulls(int(plain.sum()), pa.binary())], schema=schema
             )
             hot = np.flatnonzero(~plain)
             if not len(hot):
                 continue
             signature = batch.column(2).take(pa.array(fresh)).to_pylist()
-            out: list[tuple[int, int, int, bytes]] = []
+            out: list[tuple[int, int, int, int | None, bytes]] = []
             for i in hot.tolist():
                 s, d = int(parts[i]), int(digest[owner[i]])
                 mine = int(mix(np.array([d], np.int64).view(np.uint64))[0] % np.uint64(s))
                 for other in range(s):
                     lo, hi = min(mine, other), max(mine, other)
                     bucket = mix(flat[i : i + 1].view(np.uint64) + np.uint64(1 + lo * s + hi)).view(np.int64)[0]
-                    out.append((int(bucket), d, 0 if lo == hi else 1 if mine == lo else 2, signature[owner[i]]))
+                    out.append((int(bucket), d, 0 if lo == hi else 1 if mine == lo else 2, component[int(owner[i])].as_py(), signature[owner[i]]))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=schema.names).cast(schema)
                     out = []
@@ -138,53 +140,58 @@ def _least_equal(similarity: float, n: int) -> float:
 
 
 def _bucket_pairs(similarity: float):
-    """Pairs (a, b), a < b, of different texts in one bucket; in split buckets only those whose signatures agree."""
+    """Pairs (a, b), a < b, of different texts in one bucket that are not known to be joined already; in split
+    buckets only those whose signatures agree."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def batch_of(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        differ = x != y
+    def batch_of(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> pa.RecordBatch:
+        differ = (x != y) & (cx != cy)
         x, y = x[differ], y[differ]
         pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         bucket, digest, side = (table.column(i).to_numpy() for i in range(3))
+        component = pa.compute.coalesce(table.column(3), table.column(1)).to_numpy()
         order = np.lexsort((digest, bucket))
-        bucket, digest, side = bucket[order], digest[order], side[order]
+        bucket, digest, side, component = bucket[order], digest[order], side[order], component[order]
         new = np.ones(len(bucket), bool)
         new[1:] = (bucket[1:] != bucket[:-1]) | (digest[1:] != digest[:-1])
-        bucket, digest, side, order = bucket[new], digest[new], side[new], order[new]
+        bucket, digest, side, component, order = bucket[new], digest[new], side[new], component[new], order[new]
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         sizes = np.diff(np.append(edge, len(bucket)))
         for m in np.unique(sizes[(sizes > 1) & (sizes <= 64)]).tolist():  # all small buckets of one size at once
-            groups = digest[edge[sizes == m][:, None] + np.arange(m)]
+            at_all = edge[sizes == m][:, None] + np.arange(m)
+            groups, joined = digest[at_all], component[at_all]
             i, j = np.triu_indices(m, 1)
             step = max(1, 500_000 // len(i))
             for at in range(0, len(groups), step):
-                yield batch_of(groups[at : at + step, i].ravel(), groups[at : at + step, j].ravel())
+                cut = slice(at, at + step)
+                yield batch_of(groups[cut, i].ravel(), groups[cut, j].ravel(), joined[cut, i].ravel(), joined[cut, j].ravel())
         for at, m in zip(edge[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-            d, s = digest[at : at + m], side[at : at + m]
+            d, s, c = digest[at : at + m], side[at : at + m], component[at : at + m]
+            if (c == c[0]).all():
+                continue
             left, right = (np.flatnonzero(s != 2), np.flatnonzero(s != 1)) if s.any() else (np.arange(m), np.arange(m))
-            packed = table.column(3).take(pa.array(order[at : at + m])).to_pylist()
+            packed = table.column(4).take(pa.array(order[at : at + m])).to_pylist()
             signed = np.frombuffer(b"".join(packed), np.uint8).reshape(m, -1) if packed[0] is not None else None
             for lo in range(0, len(left), 64):
                 rows = left[lo : lo + 64]
                 if signed is None:
-                    x, y = np.repeat(d[rows], len(right)), np.tile(d[right], len(rows))
+                    i, j = np.nonzero(c[rows][:, None] != c[right][None, :])
                 else:
                     agree = np.zeros((len(rows), len(right)), np.int16)
                     for p in range(signed.shape[1]):
                         agree += signed[rows, p][:, None] == signed[right, p][None, :]
-                    i, j = np.nonzero(agree >= _least_equal(similarity, signed.shape[1]))
-                    x, y = d[rows[i]], d[right[j]]
-                if s.any():
-                    yield batch_of(x, y)
-                else:
-                    once = x < y
-                    yield batch_of(x[once], y[once])
+                    i, j = np.nonzero((agree >= _least_equal(similarity, signed.shape[1])) & (c[rows][:, None] != c[right][None, :]))
+                if not s.any():
+                    once = d[rows[i]] < d[right[j]]
+                    i, j = i[once], j[once]
+                yield batch_of(d[rows[i]], d[right[j]], c[rows[i]], c[right[j]])
 
     return run
 
@@ -247,6 +254,67 @@ def _exact(similarity: float):
     return run
 
 
+class _Texts:
+    """The different texts of some records with their signatures, and the ways to compare them."""
+
+    def __init__(self, records: DataFrame, similarity: float, width: int, bands: int, rows: int, id_col: str, text_col: str) -> None:
+        self.similarity, self.width = similarity, width
+        self.records = records.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("content"))
+        self.signed = signatures(records, width, bands, rows, id_col, text_col)
+        texts = self.signed.groupBy("digest").agg(F.min("id").alias("rep"))
+        self.members = self.signed.select("id", "digest").distinct().join(texts, "digest").select("id", "digest", "rep")
+        self._cells: np.ndarray | None = None
+
+    def cells(self) -> np.ndarray:
+        """Into how many blocks the buckets of each cell are split."""
+        if self._cells is None:
+            hot = self.signed.select("digest", "bands").mapInArrow(_repeated_bands, "band bigint, n bigint").groupBy("band").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET_BLOCK)
+
+            def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    at = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(HOT_CELLS)
+                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), batch.column(1)], names=["cell", "n"])
+
+            self._cells = np.zeros(HOT_CELLS, np.int32)
+            for row in hot.mapInArrow(cell, "cell bigint, n bigint").groupBy("cell").agg(F.max("n").alias("n")).collect():  # at most HOT_CELLS rows
+                self._cells[row.cell] = -(-row.n // BUCKET_BLOCK)
+        return self._cells
+
+    def candidates(self, joined: DataFrame | None = None) -> DataFrame:
+        """Pairs (a, b) with a common band; with joined (node, component) only those of different components."""
+        keyed = self.signed.select("digest", "bands", "signature", F.lit(None).cast("bigint").alias("component"))
+        if joined is not None:
+            known = joined.select(F.col("node").alias("digest"), F.col("component").alias("found"))
+            keyed = keyed.join(known, "digest", "left").select("digest", "bands", "signature", F.col("found").alias("component"))
+        shared = self.signed.sparkSession.sparkContext.broadcast(self.cells())
+        emitted = keyed.mapInArrow(lambda it: _emit_bands(shared.value)(it), "bucket bigint, digest bigint, side tinyint, component bigint, signature binary")
+        return emitted.repartition("bucket").mapInArrow(_bucket_pairs(self.similarity), "a bigint, b bigint").distinct()
+
+    def stars(self) -> DataFrame:
+        """Pairs (a, b) of the smallest digest of a bucket with each other one: as many as rows, however large a bucket."""
+        none = np.zeros(HOT_CELLS, np.int32)
+        rows = self.signed.select("digest", "bands", "signature", F.lit(None).cast("bigint").alias("component")).mapInArrow(_emit_bands(none), "bucket bigint, digest bigint, side tinyint, component bigint, signature binary").select("bucket", "digest")
+        least = rows.groupBy("bucket").agg(F.min("digest").alias("a"), F.max("digest").alias("most")).where("a < most").select("bucket", "a")
+        return rows.join(least, "bucket").where("digest != a").select("a", F.col("digest").alias("b")).distinct()
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, similarity) of the pairs that hold: by signature first, then on the exact shingle sets."""
+        by_digest = self.signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"))
+        left = by_digest.select(F.col("digest").alias("a"), F.col("rep").alias("rep_a"), F.col("signature").alias("sig_a"))
+        right = by_digest.select(F.col("digest").alias("b"), F.col("rep").alias("rep_b"), F.col("signature").alias("sig_b"))
+        agreed = pairs.join(left, "a").join(right, "b").select("a", "b", "rep_a", "rep_b", "sig_a", "sig_b").mapInArrow(_agreeing(self.similarity), "a bigint, b bigint, rep_a bigint, rep_b bigint")
+        agreed = written(agreed)
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        per_task = agreed.select("rep_a", "rep_b").mapInArrow(_bits_of, "cell bigint, bits bigint")
+        for row in per_task.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # at most FILTER_BITS / 64 rows
+            bits[row.cell] = row.bits & 0xFFFFFFFFFFFFFFFF
+        filters = self.signed.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+        width = self.width
+        sets = self.records.mapInArrow(lambda it: _sets_of(width, filters.value)(it), "id bigint, shingles binary").dropDuplicates(["id"])
+        checked = agreed.join(sets.select(F.col("id").alias("rep_a"), F.col("shingles").alias("set_a")), "rep_a").join(sets.select(F.col("id").alias("rep_b"), F.col("shingles").alias("set_b")), "rep_b")
+        return written(checked.select("a", "b", "set_a", "set_b").mapInArrow(_exact(self.similarity), "a bigint, b bigint, similarity double"))
+
+
 def similar_texts(records: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "id", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, digest, rep), one row per record with its text; links (a, b, similarity)
     between the digests of different texts.
@@ -255,43 +323,8 @@ def similar_texts(records: DataFrame, similarity: float = SIMILARITY, width: int
     what no band brings together: (1 - similarity ** rows) ** bands of the pairs just at the threshold. Records
     with fewer words than a shingle have no row; null ids and texts neither; an empty table gives two empty ones.
     """
-    spark = records.sparkSession
-    signed = signatures(records, width, bands, rows, id_col, text_col)
-    texts = signed.groupBy("digest").agg(F.min("id").alias("rep"))
-    members = signed.select("id", "digest").distinct().join(texts, "digest").select("id", "digest", "rep")
-
-    keyed = signed.select("digest", "bands", "signature")
-    hot = keyed.select("digest", "bands").mapInArrow(_repeated_bands, "band bigint, n bigint").groupBy("band").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET_BLOCK)
-    cells = np.zeros(HOT_CELLS, np.int32)
-
-    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(HOT_CELLS)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), batch.column(1)], names=["cell", "n"])
-
-    for row in hot.mapInArrow(cell, "cell bigint, n bigint").groupBy("cell").agg(F.max("n").alias("n")).collect():  # at most HOT_CELLS rows
-        cells[row.cell] = -(-row.n // BUCKET_BLOCK)
-
-    shared = spark.sparkContext.broadcast(cells)
-    emitted = keyed.mapInArrow(lambda it: _emit_bands(shared.value)(it), "bucket bigint, digest bigint, side tinyint, signature binary")
-    pairs = emitted.repartition("bucket").mapInArrow(_bucket_pairs(similarity), "a bigint, b bigint").distinct()
-
-    by_digest = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"))
-    left = by_digest.select(F.col("digest").alias("a"), F.col("rep").alias("rep_a"), F.col("signature").alias("sig_a"))
-    right = by_digest.select(F.col("digest").alias("b"), F.col("rep").alias("rep_b"), F.col("signature").alias("sig_b"))
-    agreed = pairs.join(left, "a").join(right, "b").select("a", "b", "rep_a", "rep_b", "sig_a", "sig_b").mapInArrow(_agreeing(similarity), "a bigint, b bigint, rep_a bigint, rep_b bigint")
-    agreed = written(agreed)
-
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    per_task = agreed.select("rep_a", "rep_b").mapInArrow(_bits_of, "cell bigint, bits bigint")
-    for row in per_task.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # at most FILTER_BITS / 64 rows
-        bits[row.cell] = row.bits & 0xFFFFFFFFFFFFFFFF
-    filters = spark.sparkContext.broadcast(bits.view(np.uint8))
-    chosen = records.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("content"))
-    sets = chosen.mapInArrow(lambda it: _sets_of(width, filters.value)(it), "id bigint, shingles binary").dropDuplicates(["id"])
-    checked = agreed.join(sets.select(F.col("id").alias("rep_a"), F.col("shingles").alias("set_a")), "rep_a").join(sets.select(F.col("id").alias("rep_b"), F.col("shingles").alias("set_b")), "rep_b")
-    links = checked.select("a", "b", "set_a", "set_b").mapInArrow(_exact(similarity), "a bigint, b bigint, similarity double")
-    return members, written(links)
+    texts = _Texts(records, similarity, width, bands, rows, id_col, text_col)
+    return texts.members, texts.verified(texts.candidates())
 
 
 def near_pairs(records: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, **options: object) -> DataFrame:
@@ -306,16 +339,18 @@ def near_pairs(records: DataFrame, similarity: float = SIMILARITY, width: int =
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def near_groups(records: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, **options: object) -> DataFrame:
-    """(id, group_id, links): one row per record with words enough for a shingle.
+def near_groups(records: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """(id, group_id): one row per record with words enough for a shingle.
 
-    group_id is the smallest id among all records joined to it by similar texts; links is the number of different
-    texts its own text is similar to. Copies share a group and are never expanded into pairs.
+    group_id is the smallest id among all records joined to it by similar texts. Copies share a group and are never
+    expanded into pairs. Buckets are first joined by stars, as many pairs as rows; all other pairs of a bucket are
+    compared only where the stars left them apart, so a large group of small edits costs no pairs of its members,
+    and no link between groups is lost.
     """
-    members, links = similar_texts(records, similarity, width, **options)
-    joined = components(links, "a", "b")
-    degree = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("links"))
-    placed = members.join(joined.withColumnRenamed("node", "digest"), "digest", "left").join(degree, "digest", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "digest"))
+    texts = _Texts(records, similarity, width, bands, rows, id_col, text_col)
+    first = texts.verified(texts.stars())
+    more = texts.verified(texts.candidates(components(first, "a", "b")))
+    joined = components(first.select("a", "b").unionByName(more.select("a", "b")), "a", "b")
+    placed = texts.members.join(joined.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     least = placed.groupBy("component").agg(F.min("rep").alias("group_id"))
-    return placed.join(least, "component").select("id", "group_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    return placed.join(least, "component").select("id", "group_id")

@@ -72,7 +72,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     """The group of every chunk."""
-    return near_duplicates.near_groups(table(spark, sf, "chunks"), **P6).select(F.col("id").alias("chunk_id"), "group_id", "links")
+    return near_duplicates.near_groups(table(spark, sf, "chunks"), **P6).select(F.col("id").alias("chunk_id"), "group_id")
 
 
 ORACLES["p6_found"] = r"""WITH w AS (SELECT id, regexp_extract_all(lower(any_value(content)), '[\p{L}\p{N}_]+') AS w FROM chunks WHERE content IS NOT NULL GROUP BY id),

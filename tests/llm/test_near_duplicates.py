@@ -49,7 +49,7 @@ def test_pairs(spark, width, least):
     got = {tuple(r) for r in nd.near_pairs(df, least, width).collect()}
     expected = brute(texts, width, least)
     assert got <= expected and len(got) >= 0.98 * len(expected)
-    groups = {r.id: (r.group_id, r.links) for r in nd.near_groups(df, least, width).collect()}
+    groups = {r.id: r.group_id for r in nd.near_groups(df, least, width).collect()}
     parent = {i: i for i in groups}
 
     def find(x):
@@ -60,7 +60,7 @@ def test_pairs(spark, width, least):
     for a, b in got:
         a, b = sorted((find(a), find(b)))
         parent[b] = a
-    assert {i: find(i) for i in groups} == {i: g for i, (g, _) in groups.items()}
+    assert {i: find(i) for i in groups} == groups
     assert set(groups) == {i for i, t in texts.items() if shingles(t, width)}
 
 
@@ -77,6 +77,7 @@ def test_split_buckets_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(nd, "BUCKET_BLOCK", 40)
     split = {tuple(r) for r in nd.near_pairs(df, 0.8, 3).collect()}
     assert whole == split == brute(texts, 3, 0.8)
+    assert {r.group_id for r in nd.near_groups(df, 0.8, 3).collect()} == {0}
 
 
 def test_empty(spark):
