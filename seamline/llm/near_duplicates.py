@@ -343,14 +343,18 @@ def near_groups(records: DataFrame, similarity: float = SIMILARITY, width: int =
     """(id, group_id): one row per record with words enough for a shingle.
 
     group_id is the smallest id among all records joined to it by similar texts. Copies share a group and are never
-    expanded into pairs. Buckets are first joined by stars, as many pairs as rows; all other pairs of a bucket are
-    compared only where the stars left them apart, so a large group of small edits costs no pairs of its members,
-    and no link between groups is lost.
+    expanded into pairs. Where some bucket is large, buckets are first joined by stars, as many pairs as rows; all
+    other pairs of a bucket are compared only where the stars left them apart, so a large group of small edits costs
+    no pairs of its members, and no link between groups is lost. Both ways give the same groups.
     """
     texts = _Texts(records, similarity, width, bands, rows, id_col, text_col)
-    first = texts.verified(texts.stars())
-    more = texts.verified(texts.candidates(components(first, "a", "b")))
-    joined = components(first.select("a", "b").unionByName(more.select("a", "b")), "a", "b")
+    if texts.cells().any():
+        first = texts.verified(texts.stars())
+        more = texts.verified(texts.candidates(components(first, "a", "b")))
+        links = first.unionByName(more)
+    else:
+        links = texts.verified(texts.candidates())
+    joined = components(links, "a", "b")
     placed = texts.members.join(joined.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     least = placed.groupBy("component").agg(F.min("rep").alias("group_id"))
     return placed.join(least, "component").select("id", "group_id")
