@@ -161,6 +161,13 @@ def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixture(documents, mixing.plan_mixture(documents, table(spark, sf, "mix_targets"))).withColumnRenamed("id", "doc_id")
 
 
+@query
+def p8_mixture_full_size(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of a mixture as large as the collection, in which scarce sources stop at their cap."""
+    documents = table(spark, sf, "documents")
+    return mixing.mixture(documents, mixing.plan_mixture(documents, table(spark, sf, "mix_targets"), size="all")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Target share, reached share and tokens of every source."""

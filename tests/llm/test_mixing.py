@@ -61,3 +61,18 @@ def test_empty(tables):
     plan = mixing.plan_mixture(docs.where("false"), targets)
     assert mixing.mixture(docs.where("false"), plan).count() == 0 and all(r["tokens"] == 0 for r in plan.rows)
     assert mixing.plan_mixture(docs, targets.where("false")).rows == []
+
+
+def test_full_size_query(spark):
+    """The rows of the mixture that p8_shares_full_size describes."""
+    from seamline.llm.queries import QUERIES
+    from seamline.llm.tokens import token_counts
+
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["p8_mixture_full_size"](spark, sf).collect()
+    tokens = Counter()
+    for r, n in zip(got, token_counts([r.text for r in got])):
+        tokens[r.source] += n
+    shares = {r.source: r for r in QUERIES["p8_shares_full_size"](spark, sf).collect()}
+    assert tokens == {s: r.tokens for s, r in shares.items() if r.tokens}
+    assert all(r.copy <= shares[r.source].max_repeats and r.reached_share == shares[r.source].reached_share for r in got)
