@@ -17,8 +17,9 @@ from seamline.session import written
 SEED = 2024
 GRID = 65
 ROUNDS = 3
-#: A rate at which practically every record reaches its cap.
-_ALL = 1e6
+#: The part of max_repeats that the mean count of a source can reach. Counts stay Poisson, cut off at the cap: at this
+#: part and a cap of 4 the rate is 10.7, and one record in 44,000 is not drawn; at a cap of 1 one in 500.
+MOST_OF_CAP = 0.998
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -28,8 +29,6 @@ def uniform(key: Column, seed: int) -> Column:
 
 def steps(rate: float, cap: int) -> list[float]:
     """Cumulative Poisson probabilities of 0 .. cap - 1: a record with uniform u is taken once for each step <= u."""
-    if rate >= _ALL:
-        return [0.0] * cap
     out, p, total = [], math.exp(-rate), 0.0
     for k in range(cap):
         total += p
@@ -44,9 +43,8 @@ def capped_mean(rate: float, cap: int) -> float:
 
 
 def rate_for(mean: float, cap: int) -> float:
-    """The Poisson rate whose count, cut off at cap, has the given mean."""
-    if mean >= cap * (1 - 1e-9):
-        return _ALL
+    """The Poisson rate whose count, cut off at cap, has the given mean, at most MOST_OF_CAP of the cap."""
+    mean = min(mean, MOST_OF_CAP * cap)
     low, high = 0.0, 1.0
     while capped_mean(high, cap) < mean:
         high *= 2
@@ -113,14 +111,15 @@ class Plan:
         return like.sparkSession.createDataFrame([tuple(r[k] for k in ("source", "target_share", "reached_share", "tokens", "available_tokens", "max_repeats", "rate", "cdf")) for r in self.rows], schema)
 
 
-def plan_mixture(records: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY, seed: int = SEED, size: float | str | None = None) -> Plan:
+def plan_mixture(records: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY, seed: int = SEED, size: float | str | None = "all") -> Plan:
     """Poisson rates with which each source holds its target share of all tokens.
 
     targets (source, target_share, max_repeats) is a table of settings and is read whole; its shares are scaled to
-    1 over the sources that have tokens. Without a size the mixture is as large as the caps allow with every share
-    kept: the scarcest source is taken max_repeats times. With a size in tokens ("all": as many as there are) a
-    source whose cap is reached stays below its share and the others fill the rest by theirs. Rates start at those whose capped mean is right and are then fitted to the tokens that the
-    hash-seeded counts really take: totals of a grid of rates are summed in one pass over the counts, three times.
+    1 over the sources that have tokens. The mixture has as many tokens as the collection (size "all") or as `size`
+    says: a source whose cap is reached stays below its share and the others fill the rest by theirs. With size None
+    every share is kept, so the scarcest source, taken to its cap, bounds the mixture. Every source is Poisson: rates
+    start at those whose capped mean is right and are then fitted to the tokens that the hash-seeded counts really
+    take: totals of a grid of rates are summed in one pass over the counts, three times.
     """
     known = targets.select("source")
     rows = records.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(source_col).cast("string").alias("source"), uniform(F.col(id_col), seed).alias("u"), F.col(text_col).alias("text"))
@@ -130,21 +129,20 @@ def plan_mixture(records: DataFrame, targets: DataFrame, id_col: str = "doc_id",
     live = [t for t in wanted if have.get(t["source"], 0) > 0 and (t["target_share"] or 0) > 0 and (t["max_repeats"] or 0) > 0]
     scale = sum(t["target_share"] for t in live)
     if size is None:
-        size = min((have[t["source"]] * t["max_repeats"] * scale / t["target_share"] for t in live), default=0.0)
+        size = min((MOST_OF_CAP * have[t["source"]] * t["max_repeats"] * scale / t["target_share"] for t in live), default=0.0)
         goal = {t["source"]: size * t["target_share"] / scale for t in live}
     else:
-        goal = _filled({t["source"]: t["target_share"] for t in live}, {t["source"]: float(have[t["source"]] * t["max_repeats"]) for t in live}, float(sum(have.values()) if size == "all" else size))
+        goal = _filled({t["source"]: t["target_share"] for t in live}, {t["source"]: MOST_OF_CAP * have[t["source"]] * t["max_repeats"] for t in live}, float(sum(have.values()) if size == "all" else size))
     cap = {t["source"]: int(t["max_repeats"]) for t in live}
     rate = {s: rate_for(goal[s] / have[s], cap[s]) for s in goal}
-    reached = {s: float(have[s] * cap[s]) for s in goal if rate[s] >= _ALL}
-    open_sources = [s for s in goal if s not in reached]
-    span = {s: (rate[s] * 0.5, rate[s] * 1.5) for s in open_sources}
-    for _ in range(ROUNDS if open_sources else 0):
-        grid = {s: np.linspace(*span[s], GRID) for s in open_sources}
-        cdfs = {s: [steps(float(x), cap[s]) for x in grid[s]] for s in open_sources}
+    reached: dict[str, float] = {}
+    span = {s: (rate[s] * 0.5, rate[s] * 1.5) for s in goal}
+    for _ in range(ROUNDS if goal else 0):
+        grid = {s: np.linspace(*span[s], GRID) for s in goal}
+        cdfs = {s: [steps(float(x), cap[s]) for x in grid[s]] for s in goal}
         sums = counted.mapInArrow(_totals(cdfs), "source string, i bigint, total double").groupBy("source", "i").agg(F.sum("total").alias("total"))
         got = {(r.source, r.i): r.total for r in sums.collect()}  # GRID rows per target
-        for s in open_sources:
+        for s in goal:
             totals = np.array([got[s, i] for i in range(GRID)])
             best = int(np.argmin(np.abs(totals - goal[s])))
             rate[s], reached[s] = float(grid[s][best]), float(totals[best])

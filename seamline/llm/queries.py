@@ -156,16 +156,16 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    """The mixture, each row with the target share of its source and the share reached."""
+    """A mixture as large as the collection, each row with the target share of its source and the share reached."""
     documents = table(spark, sf, "documents")
     return mixing.mixture(documents, mixing.plan_mixture(documents, table(spark, sf, "mix_targets"))).withColumnRenamed("id", "doc_id")
 
 
 @query
-def p8_mixture_full_size(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of a mixture as large as the collection, in which scarce sources stop at their cap."""
+def p8_mixture_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest mixture in which every source holds its share."""
     documents = table(spark, sf, "documents")
-    return mixing.mixture(documents, mixing.plan_mixture(documents, table(spark, sf, "mix_targets"), size="all")).withColumnRenamed("id", "doc_id")
+    return mixing.mixture(documents, mixing.plan_mixture(documents, table(spark, sf, "mix_targets"), size=None)).withColumnRenamed("id", "doc_id")
 
 
 @query
@@ -176,10 +176,10 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def p8_shares_full_size(spark: SparkSession, sf: str) -> DataFrame:
-    """The same for a mixture as large as the collection, in which scarce sources stop at their cap."""
+def p8_shares_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for the largest mixture in which every source holds its share."""
     documents = table(spark, sf, "documents")
-    return mixing.plan_mixture(documents, table(spark, sf, "mix_targets"), size="all").frame(documents).drop("cdf")
+    return mixing.plan_mixture(documents, table(spark, sf, "mix_targets"), size=None).frame(documents).drop("cdf")
 
 
 # --- 9: text read in a wrong encoding ------------------------------------------------------------------------
