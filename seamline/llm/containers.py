@@ -16,15 +16,19 @@ from seamline.session import written
 
 CAPACITY = 2048
 WINDOWS = 64
-#: Items left in open windows that one task packs again; more of them are first packed in several tasks.
-MERGE_ROWS = 20_000
+#: Tasks whose open windows one task merges. Merging goes on in rounds until a single task holds what is left.
+FAN_IN = 16
 
 _SCHEMA = pa.schema([("container_id", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("token_start", pa.int64()), ("token_end", pa.int64()), ("closed", pa.bool_())])
 _DDL = "container_id bigint, id bigint, piece int, token_start bigint, token_end bigint, closed boolean"
 
 
 class Windows:
-    """Open containers, at most a fixed number, kept in order of their free space."""
+    """Open containers, at most a fixed number, kept in order of their free space.
+
+    A container is complete when it is full or holds as many items as it has room for tokens, so items without tokens
+    complete containers as well.
+    """
 
     def __init__(self, capacity: int, most: int, first: int) -> None:
         self.capacity, self.most, self.next = capacity, most, first
@@ -43,7 +47,7 @@ class Windows:
             self.next += 1
         space, container = self.free.pop(at)
         self.items[container].append(item)
-        if space > size:
+        if space > size and len(self.items[container]) < self.capacity:
             insort(self.free, (space - size, container))
         else:
             yield container, self.items.pop(container)
@@ -106,24 +110,20 @@ def fill_containers(records: DataFrame, id_col: str = "doc_id", text_col: str =
     placed on their own. Rows with null id or text are left out; an empty text is an item without tokens, repeated
     rows are items of their own, an empty table gives no rows.
 
-    Each task keeps a fixed number of open containers, places best-fit, and emits the fullest when nothing fits.
-    What is open at the end of a task is packed again: in ever fewer tasks, and in one when few items are left.
+    Each task keeps a fixed number of open containers, places best-fit, and emits the fullest when nothing fits. What
+    is open at the end of a task is merged: each round packs the open containers of FAN_IN tasks in one, and the last
+    one packs the largest items first, with as many containers as it takes. A container holds at most `capacity` items,
+    so every round has fewer open containers than the one before, whatever the texts.
     """
     rows = records.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    packed = written(rows.mapInArrow(_pack(capacity, windows, 0, False, vocabulary), _DDL))
-    done, turn = packed.where("closed"), 0
-    rest = packed.where("not closed").select("id", "piece", "token_start", "token_end")
-    left = rest.count()
-    while left:
+    now = written(rows.mapInArrow(_pack(capacity, windows, 0, False, vocabulary), _DDL))
+    done, turn = now.where("closed"), 0
+    while waiting := now.where("not closed").agg(F.count_distinct("container_id")).first()[0]:
         turn += 1
-        tasks = -(-left // MERGE_ROWS)
-        last = tasks == 1
-        again = written(rest.coalesce(tasks).mapInArrow(_pack(capacity, windows, turn, last, None), _DDL))
-        done = done.unionByName(again.where("closed"))
-        rest = again.where("not closed").select("id", "piece", "token_start", "token_end")
-        before, left = left, 0 if last else rest.count()
-        if left > before // 2:
-            windows = max(1, windows // 2)
+        tasks = -(-waiting // (FAN_IN * windows))
+        rest = now.where("not closed").select("id", "piece", "token_start", "token_end")
+        now = written(rest.coalesce(tasks).mapInArrow(_pack(capacity, windows, turn, tasks == 1, None), _DDL))
+        done = done.unionByName(now.where("closed"))
     return done.drop("closed")
 
 
