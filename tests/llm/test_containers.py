@@ -42,7 +42,7 @@ def test_table(spark):
 
 
 def test_leftovers_in_rounds(spark, monkeypatch):
-    monkeypatch.setattr(containers, "FAN_IN", 1)
+    monkeypatch.setattr(containers, "FAN_IN", 2)
     df = spark.createDataFrame([(i, "tok " * (1 + i % 30)) for i in range(600)], "doc_id bigint, text string").repartition(8, "doc_id")
     got = containers.fill_containers(df, capacity=64, windows=8)
     assert got.count() == 600 and got.select("id").distinct().count() == 600
@@ -50,7 +50,7 @@ def test_leftovers_in_rounds(spark, monkeypatch):
     assert report.items == 600 and report.filled > 0.9
 
 
-@pytest.mark.parametrize("fan_in", [1, 16])
+@pytest.mark.parametrize("fan_in", [2, 16])
 def test_empty_texts_end(spark, monkeypatch, fan_in):
     monkeypatch.setattr(containers, "FAN_IN", fan_in)
     df = spark.range(50_000).selectExpr("id AS doc_id", "IF(id % 5000 = 7, 'one', '') AS text").repartition(6)
