@@ -254,10 +254,10 @@ def _exact(similarity: float):
     return run
 
 
-class _Texts:
+class Texts:
     """The different texts of some records with their signatures, and the ways to compare them."""
 
-    def __init__(self, records: DataFrame, similarity: float, width: int, bands: int, rows: int, id_col: str, text_col: str) -> None:
+    def __init__(self, records: DataFrame, similarity: float, width: int, bands: int = BANDS, rows: int = ROWS, id_col: str = "id", text_col: str = "content") -> None:
         self.similarity, self.width = similarity, width
         self.records = records.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("content"))
         self.signed = signatures(records, width, bands, rows, id_col, text_col)
@@ -297,6 +297,15 @@ class _Texts:
         least = rows.groupBy("bucket").agg(F.min("digest").alias("a"), F.max("digest").alias("most")).where("a < most").select("bucket", "a")
         return rows.join(least, "bucket").where("digest != a").select("a", F.col("digest").alias("b")).distinct()
 
+    def candidates_with(self, chosen: DataFrame) -> DataFrame:
+        """Pairs (a, b) with a common band of which at least one is among the chosen (digest): linear in the other texts."""
+        none = np.zeros(HOT_CELLS, np.int32)
+        keyed = self.signed.select("digest", "bands", "signature", F.lit(None).cast("bigint").alias("component"))
+        rows = keyed.mapInArrow(_emit_bands(none), "bucket bigint, digest bigint, side tinyint, component bigint, signature binary").select("bucket", "digest")
+        mine = rows.join(chosen, "digest", "left_semi").distinct()
+        met = rows.join(mine.withColumnRenamed("digest", "chosen"), "bucket").where("digest != chosen")
+        return met.select(F.least("digest", "chosen").alias("a"), F.greatest("digest", "chosen").alias("b")).distinct()
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of the pairs that hold: by signature first, then on the exact shingle sets."""
         by_digest = self.signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"))
@@ -323,7 +332,7 @@ def similar_texts(records: DataFrame, similarity: float = SIMILARITY, width: int
     what no band brings together: (1 - similarity ** rows) ** bands of the pairs just at the threshold. Records
     with fewer words than a shingle have no row; null ids and texts neither; an empty table gives two empty ones.
     """
-    texts = _Texts(records, similarity, width, bands, rows, id_col, text_col)
+    texts = Texts(records, similarity, width, bands, rows, id_col, text_col)
     return texts.members, texts.verified(texts.candidates())
 
 
@@ -347,7 +356,7 @@ def near_groups(records: DataFrame, similarity: float = SIMILARITY, width: int =
     other pairs of a bucket are compared only where the stars left them apart, so a large group of small edits costs
     no pairs of its members, and no link between groups is lost. Both ways give the same groups.
     """
-    texts = _Texts(records, similarity, width, bands, rows, id_col, text_col)
+    texts = Texts(records, similarity, width, bands, rows, id_col, text_col)
     if texts.cells().any():
         first = texts.verified(texts.stars())
         more = texts.verified(texts.candidates(components(first, "a", "b")))

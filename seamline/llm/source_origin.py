@@ -1,8 +1,10 @@
 """Source files that nobody wrote by hand for the project: generated, minified, copied or pure data.
 
-Names are judged by character n-gram models, one per language, trained on all files: mangled names cost many bits,
-template-like files repeat the shapes of their names and lines, and copies bring foreign names. Notices at the
-edges of a file and similarity to reference copies complete the evidence.
+Names decide first. Character n-gram models, one per language and trained on the identifiers of all files, tell mangled
+names by their cross-entropy. Template-like and data files repeat the same few shapes of names and literals, so their
+diversity is low beside other files of the language. Vendored files name modules that are likely in the reference
+copies and unlikely in the language, and none of those that mark their repository. Notices of tools and of other
+authors, literals, code without spaces, and the similarity to a reference copy complete the evidence.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ LEAST_NAMES = 12
 #: Packed: a code line of this length, strings left out, with hardly a space in it.
 PACKED_LINE = 300
 PACKED_SPACES = 0.06
-#: Template-like: so few different stems of names, over enough names.
-STEM_SHARE = 0.13
-TEMPLATE_NAMES = 60
+#: Template-like: diversity of token shapes below this part of the language's median file, over enough tokens.
+LOW_DIVERSITY = 0.25
+LEAST_TOKENS = 60
+#: Tokens in which diversity is measured at a time, so that it doesn't fall with the length of a file.
+SPAN = 400
 #: Data: so much of the code is literals and brackets, and so many characters of it.
 DATA_SHARE = 0.8
 LEAST_DATA = 500
@@ -43,10 +47,28 @@ LEAST_DATA = 500
 ESCAPES = 0.1
 #: Copies: similarity of the sets of five words to a reference copy.
 COPY_SIMILARITY = 0.8
-#: Foreign style: distance of the shares of naming styles from those of the repository, beside foreign imports.
-STYLE_DISTANCE = 0.5
-#: A module root in this share of all repositories belongs to the language, not to a package.
-COMMON_ROOT = 0.5
+#: Foreign: a module name this many bits likelier in the reference copies than in the language. A name marks its
+#: repository where it is as many bits likelier there than in the language and in this share of its files.
+FOREIGN_BITS = 2.0
+OWN_SHARE = 0.25
+#: A pair of tool comments that encloses this share of the code stands for the tool's work.
+ENCLOSED = 0.4
+
+# Comment syntax by extension, for files without a lexer here: opening and closing marks.
+COMMENTS = {
+    "#": ((r"#", r"\n"),),
+    "markup": ((r"<!--", r"-->"),),
+    "--": ((r"--", r"\n"),),
+    ";": ((r";", r"\n"),),
+    "//": ((r"//", r"\n"), (r"/\*", r"\*/")),
+}
+COMMENT_STYLE = {
+    **dict.fromkeys((".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".sh", ".rb", ".pl", ".r", ".mk", ".properties", ".tf"), "#"),
+    **dict.fromkeys((".md", ".html", ".htm", ".xml", ".svg", ".vue"), "markup"),
+    **dict.fromkeys((".sql", ".lua", ".hs", ".elm"), "--"),
+    **dict.fromkeys((".el", ".lisp", ".clj", ".scm", ".asm"), ";"),
+    **dict.fromkeys((".rs", ".swift", ".kt", ".scala", ".php", ".cs", ".dart", ".proto", ".gradle", ".less"), "//"),
+}
 
 # What tools write into the files they make, and what a person writes who denies it.
 MADE = re.compile(
@@ -60,8 +82,8 @@ NOTICE = re.compile(r"(?i)\(c\)\s|copyright|©|\bcontributors\b|\bmaintainers\b|
 NOTICE_WORDS = frozenset("copyright c the of part all rights reserved project authors author contributors maintainers developers team inc and by to licensed under license licence mit bsd apache spdx identifier in or this file see for is".split())
 
 _NAME = re.compile(r"[^\W\d][\w$]*")
-_SHAPE = re.compile(r"[^\W\d][\w$]*|\d[\w.]*")
 _SPLIT = re.compile(r"[^\W_\d]+")
+_NUMBERS = re.compile(r"\d+")
 
 
 def language_of(path: str | None) -> str:
@@ -143,19 +165,62 @@ def train(described: DataFrame) -> NameModel:
     return NameModel(counts)
 
 
-def edge_comments(text: str, language: str, tokens: list[Token]) -> str:
-    """Comments before the first and after the last code token; in prose files comments in the first lines."""
+@functools.cache
+def _edges(style: str) -> tuple[re.Pattern, re.Pattern]:
+    one = "|".join(f"{start}(?:(?!{end})[\\s\\S])*(?:{end}|\\Z)" for start, end in COMMENTS[style])
+    return re.compile(rf"(?:---\n(?:(?!---\n)[^\n]*\n)*---\n)?(?:\s*(?:{one}))+"), re.compile(one)
+
+
+def edge_comments(path: str | None, text: str, tokens: list[Token]) -> str:
+    """Comments before the first and after the last code. In files without a lexer here those of their type before the
+    first other text, behind front matter as well, and after the last; unknown types have none."""
     if not tokens:
-        return "\n".join(re.findall(r"<!--(.*?)(?:-->|\Z)", text[:2000], re.S)) + "\n" + "\n".join(line for line in text.split("\n", 5)[:5] if line.startswith("# ") and MADE.search(line))
+        m = re.search(r"(\.[^./]+)$", path or "")
+        style = COMMENT_STYLE.get(m.group(1).lower()) if m else None
+        if style is None:
+            return ""
+        block, one = _edges(style)
+        head = block.match(text)
+        last, end = [], len(text.rstrip())
+        for c in reversed(list(one.finditer(text, head.end() if head else 0))):
+            if text[c.end() : end].strip():
+                break
+            last.append(c[0])
+            end = c.start()
+        return "\n".join([head[0] if head else "", *reversed(last)])
     solid = [i for i, t in enumerate(tokens) if t.kind not in ("comment", "newline", "skip")]
     first, last = (solid[0], solid[-1]) if solid else (len(tokens), -1)
     return "\n".join(text[t.start : t.end] for i, t in enumerate(tokens) if t.kind == "comment" and (i < first or i > last))
 
 
 def made_inside(text: str, tokens: list[Token]) -> bool:
-    """A pair of tool comments that encloses code: the tool wrote what stands between them."""
-    marks = [c for t in tokens if t.kind == "comment" and MADE.search(c := text[t.start : t.end]) and not NOT_MADE.search(c)]
-    return len(marks) >= 2 and any(re.search(r"(?i)\bend of\b", m) for m in marks)
+    """Two tool comments that enclose most of the code: the tool wrote what stands between them."""
+    marks = [i for i, t in enumerate(tokens) if t.kind == "comment" and MADE.search(c := text[t.start : t.end]) and not NOT_MADE.search(c)]
+    if len(marks) < 2:
+        return False
+    solid = [i for i, t in enumerate(tokens) if t.kind not in ("comment", "newline", "skip")]
+    return sum(marks[0] < i < marks[-1] for i in solid) >= ENCLOSED * len(solid)
+
+
+def diversity(text: str, tokens: list[Token]) -> float | None:
+    """Distinct runs of three token shapes among all, in spans of SPAN tokens; null for fewer than LEAST_TOKENS. A shape is
+    a name with its numbers replaced, the kind of a literal, or a sign."""
+    stems: dict[str, str] = {}
+    shapes = []
+    for t in tokens:
+        if t.kind == "name":
+            name = text[t.start : t.end]
+            shapes.append(stems.get(name) or stems.setdefault(name, _NUMBERS.sub("0", name)))
+        elif t.kind not in ("comment", "newline"):
+            shapes.append(t.kind)
+    if len(shapes) < LEAST_TOKENS:
+        return None
+    found = total = 0
+    for at in range(0, len(shapes), SPAN):
+        span = shapes[at : at + SPAN + 2]
+        found += len(set(zip(span, span[1:], span[2:])))
+        total += max(0, len(span) - 2)
+    return found / total
 
 
 def roots_of(text: str, language: str) -> list[str]:
@@ -167,10 +232,6 @@ def roots_of(text: str, language: str) -> list[str]:
     return []
 
 
-_CAMEL = re.compile(r"[a-z][a-z0-9]*(?:[A-Z][a-z0-9]*)+")
-_SNAKE = re.compile(r"_?[a-z0-9]+(?:_[a-z0-9]+)+")
-
-
 def features(path: str | None, text: str, repo: str | None) -> tuple:
     """What is known of one file by itself, in the order of FEATURES."""
     language = language_of(path)
@@ -178,7 +239,6 @@ def features(path: str | None, text: str, repo: str | None) -> tuple:
     tokens = tokens_of(text, language)
     names = names_of(text, language, tokens)
     unique = set(names)
-    stems = {re.sub(r"\d+", "", n) for n in unique}
     code = sum(t.end - t.start for t in tokens if t.kind not in ("comment", "newline"))
     literal = sum(t.end - t.start for t in tokens if t.kind in ("string", "number", ",", "{", "}", "[", "]", "(", ")", ":", "-", "regex"))
     at, bare = 0, []
@@ -188,25 +248,23 @@ def features(path: str | None, text: str, repo: str | None) -> tuple:
             at = t.end
     longest = max("".join([*bare, text[at:]]).split("\n"), key=len).strip() if tokens else ""
     packed = len(longest) >= PACKED_LINE and sum(c in " \t" for c in longest) <= PACKED_SPACES * len(longest)
-    edge = edge_comments(text, language, tokens)
+    edge = edge_comments(path, text, tokens)
     made = (bool(MADE.search(edge)) and not NOT_MADE.search(edge)) or made_inside(text, tokens)
     head = [line for line in edge.split("\n") if NOTICE.search(line)]
     words = {w.lower() for line in head for w in _SPLIT.findall(line)} - NOTICE_WORDS
     own = {w.lower() for w in _SPLIT.findall(repo or "")} | {(repo or "").lower()}
     notice = bool(words) and not (words & own)
-    several = [n for n in unique if _CAMEL.fullmatch(n) or _SNAKE.fullmatch(n)]
-    camel = sum(bool(_CAMEL.fullmatch(n)) for n in several) / len(several) if several else None
     return (
-        language, len(names), sorted(unique), len(stems) / len(names) if names else 1.0, literal / code if code else 0.0, literal, packed,
-        4 * text.count("\\x") / max(1, len(text)), made, notice, camel, sorted(set(roots_of(text, language)))[:100],
+        language, len(names), sorted(unique), diversity(text, tokens), literal / code if code else 0.0, literal, packed,
+        4 * text.count("\\x") / max(1, len(text)), made, notice, sorted(set(roots_of(text, language))),
     )
 
 
 FEATURES = pa.schema(
-    [("file_id", pa.int64()), ("repo", pa.string()), ("language", pa.string()), ("names", pa.int64()), ("unique", pa.list_(pa.string())), ("stem_share", pa.float64()), ("data_share", pa.float64()), ("literal", pa.int64())]
-    + [("packed", pa.bool_()), ("escapes", pa.float64()), ("made", pa.bool_()), ("notice", pa.bool_()), ("camel", pa.float64()), ("roots", pa.list_(pa.string()))]
+    [("file_id", pa.int64()), ("repo", pa.string()), ("language", pa.string()), ("names", pa.int64()), ("unique", pa.list_(pa.string())), ("diversity", pa.float64()), ("data_share", pa.float64()), ("literal", pa.int64())]
+    + [("packed", pa.bool_()), ("escapes", pa.float64()), ("made", pa.bool_()), ("notice", pa.bool_()), ("roots", pa.list_(pa.string()))]
 )
-_DDL = "file_id bigint, repo string, language string, names bigint, unique array<string>, stem_share double, data_share double, literal bigint, packed boolean, escapes double, made boolean, notice boolean, camel double, roots array<string>"
+_DDL = "file_id bigint, repo string, language string, names bigint, unique array<string>, diversity double, data_share double, literal bigint, packed boolean, escapes double, made boolean, notice boolean, roots array<string>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,22 +291,51 @@ def _bits(model: NameModel):
 
 
 def reference_copies(files: DataFrame, references: DataFrame) -> DataFrame:
-    """(file_id) of files (file_id, text) whose words nearly equal those of a reference (ref_id, content)."""
+    """(file_id) of files (file_id, text) whose words nearly equal those of a reference (ref_id, content). Only pairs of a
+    file and a reference are looked at."""
     both = files.select((F.col("file_id") * 2).alias("id"), F.col("text").alias("content")).unionByName(references.where(F.col("content").isNotNull()).select((F.col("ref_id") * 2 + 1).alias("id"), "content"))
-    members, links = near_duplicates.similar_texts(both, COPY_SIMILARITY, near_duplicates.SHINGLE_WORDS)
+    texts = near_duplicates.Texts(both, COPY_SIMILARITY, near_duplicates.SHINGLE_WORDS)
     is_reference = F.pmod("id", F.lit(2)) == 1
-    known = members.where(is_reference).select("digest").distinct()
+    known = texts.members.where(is_reference).select("digest").distinct()
+    links = texts.verified(texts.candidates_with(known))
     near = known.unionByName(links.join(known.withColumnRenamed("digest", "a"), "a").select(F.col("b").alias("digest"))).unionByName(links.join(known.withColumnRenamed("digest", "b"), "b").select(F.col("a").alias("digest"))).distinct()
-    return members.where(~is_reference).join(near, "digest", "left_semi").select((F.col("id") / 2).cast("bigint").alias("file_id"))
+    return texts.members.where(~is_reference).join(near, "digest", "left_semi").select((F.col("id") / 2).cast("bigint").alias("file_id"))
 
 
-def file_origins(files: DataFrame, references: DataFrame, id_col: str = "file_id", path_col: str = "path", text_col: str = "content", repo_col: str = "repo") -> DataFrame:
-    """(file_id, generated, packed, data, vendored) of all distinct files with text; true where the file is such.
+def foreign_files(found: DataFrame, references: DataFrame) -> DataFrame:
+    """(file_id) of files (file_id, repo, language, roots) that name modules of the references and none of their own repository.
+
+    A module name is foreign where it is FOREIGN_BITS likelier in the files of the references (language, roots) than in
+    all files of the language, and marks a repository where it is as much likelier there and in OWN_SHARE of its files.
+    """
+    sizes = found.where(F.size("roots") > 0).groupBy("repo", "language").agg(F.count("*").alias("files"))
+    whole = sizes.groupBy("language").agg(F.sum("files").alias("all_files"))
+    used = found.select("repo", "language", F.explode("roots").alias("root")).groupBy("repo", "language", "root").agg(F.count("*").alias("n"))
+    everywhere = used.groupBy("language", "root").agg(F.sum("n").alias("all_n")).join(whole, "language")
+    in_language = (F.col("all_n") + 1) / (F.col("all_files") + 1)
+    there = references.where(F.size("roots") > 0)
+    ref_files = there.groupBy("language").agg(F.count("*").alias("ref_files"))
+    ref_roots = there.select("language", F.explode("roots").alias("root")).groupBy("language", "root").agg(F.count("*").alias("ref_n")).join(ref_files, "language")
+    foreign = ref_roots.join(everywhere, ["language", "root"]).where(F.log2((F.col("ref_n") + 1) / (F.col("ref_files") + 1) / in_language) >= FOREIGN_BITS)
+    own = used.join(sizes, ["repo", "language"]).join(everywhere, ["language", "root"])
+    in_repo = F.col("n") / F.col("files")
+    own = own.where((in_repo >= OWN_SHARE) & (F.log2(in_repo / in_language) >= FOREIGN_BITS))
+    # A row for each language and for each repository: a name in a quarter of the files can only be one of a few.
+    foreign = foreign.groupBy("language").agg(F.collect_set("root").alias("foreign_roots"))
+    own = own.groupBy("repo", "language").agg(F.collect_set("root").alias("own_roots"))
+    told = found.where(F.size("roots") > 0).join(foreign, "language").join(own, ["repo", "language"], "left")
+    return told.where(F.arrays_overlap("roots", "foreign_roots") & ~F.coalesce(F.arrays_overlap("roots", "own_roots"), F.lit(False))).select("file_id")
+
 
-    generated: a tool's notice at an edge of the file or around its code, or template-like names. packed: mangled
-    names, or code lines without spaces. data: nearly all literals, or embedded bytes. vendored: a notice that names
-    others than the repository, a copy of a reference, or foreign names in a foreign style. Null or blank files and
-    null ids give no rows; a null path means no language, a null repository no own name; texts are read whole.
+def file_origins(files: DataFrame, references: DataFrame, id_col: str = "file_id", path_col: str = "path", text_col: str = "content", repo_col: str = "repo") -> DataFrame:
+    """(file_id, generated, packed, data, vendored, mangled, low_diversity, foreign) of all distinct files with text; true
+    where the file is such. The last three tell what the names alone show.
+
+    generated: template-like shapes, or a tool's notice at an edge of the file or around its code. packed: mangled names,
+    or code lines without spaces. data: shapes of low diversity or any others that are nearly all literals, or embedded
+    bytes. vendored: module names of the references, a notice that names others than the repository, or a copy of a
+    reference. Null or blank files and null ids give no rows; a null path means no language, a null repository no own
+    name; references without a path show no foreign names; texts are read whole.
     """
     rows = files.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(path_col).alias("path"), F.col(text_col).alias("text"), F.col(id_col).cast("bigint").alias("file_id"), F.col(repo_col).alias("repo"))
     rows = written(rows.where(F.col("text").rlike(r"[^\s\x{FEFF}\x{A0}]")).dropDuplicates(["file_id"]))
@@ -256,21 +343,20 @@ def file_origins(files: DataFrame, references: DataFrame, id_col: str = "file_id
     shared = files.sparkSession.sparkContext.broadcast(train(described))
     bits = written(described.select("file_id", "language", "unique").mapInArrow(lambda it: _bits(shared.value)(it), "file_id bigint, bits double"))
     found = described.drop("unique").join(bits, "file_id")
-    usual = found.groupBy("language").agg(F.percentile_approx("bits", 0.5, 10000).alias("usual_bits"))  # one row per language
-    style = found.where(F.col("camel").isNotNull()).groupBy("repo", "language").agg(F.avg("camel").alias("usual_camel"))
-    repos = found.agg(F.count_distinct("repo").alias("repos"))
-    spread = found.select("repo", F.explode("roots").alias("root")).groupBy("root").agg(F.count_distinct("repo").alias("n")).crossJoin(F.broadcast(repos))
-    used = found.select("file_id", "repo", F.explode("roots").alias("root")).join(spread, "root")
-    outside = used.groupBy("file_id").agg(F.bool_or(F.col("root").eqNullSafe(F.col("repo"))).alias("own_root"), F.bool_or((F.col("n") < COMMON_ROOT * F.col("repos")) & ~F.col("root").eqNullSafe(F.col("repo"))).alias("foreign_root"))
+    usual = found.groupBy("language").agg(F.percentile_approx("bits", 0.5, 10000).alias("usual_bits"), F.percentile_approx("diversity", 0.5, 10000).alias("usual_diversity"))  # one row per language
+    reference_rows = references.where(F.col("content").isNotNull()).select((F.col("path") if "path" in references.columns else F.lit(None).cast("string")).alias("path"), F.col("content").alias("text"), F.col("ref_id").cast("bigint").alias("file_id"), F.lit(None).cast("string").alias("repo"))
+    described_references = reference_rows.mapInArrow(_describe, _DDL).select("language", "roots")
+    foreign = foreign_files(described.select("file_id", "repo", "language", "roots"), described_references).withColumn("foreign", F.lit(True))
     copies = reference_copies(rows, references).distinct().withColumn("copy", F.lit(True))
-    joined = found.join(F.broadcast(usual), "language").join(style, ["repo", "language"], "left").join(outside, "file_id", "left").join(copies, "file_id", "left")
+    joined = found.join(F.broadcast(usual), "language").join(foreign, "file_id", "left").join(copies, "file_id", "left")
     code = F.col("language") != "text"
-    mangled = code & (F.col("names") >= LEAST_NAMES) & (F.col("bits") > F.col("usual_bits") + MANGLED_BITS)
-    template = code & (F.col("names") >= TEMPLATE_NAMES) & (F.col("stem_share") < STEM_SHARE)
-    styled = F.col("foreign_root") & ~F.col("own_root") & (F.abs(F.col("camel") - F.col("usual_camel")) > STYLE_DISTANCE)
-    literal = (F.col("data_share") >= DATA_SHARE) & (F.col("literal") >= LEAST_DATA)
     no = F.lit(False)
+    mangled = F.coalesce(code & (F.col("names") >= LEAST_NAMES) & (F.col("bits") > F.col("usual_bits") + MANGLED_BITS), no)
+    low = F.coalesce(code & (F.col("diversity") < LOW_DIVERSITY * F.col("usual_diversity")), no)
+    literal = F.col("data_share") >= DATA_SHARE
     return joined.select(
-        "file_id", F.coalesce(F.col("made") | template, no).alias("generated"), F.coalesce(F.col("packed") | mangled, no).alias("packed"), F.coalesce(literal | (F.col("escapes") > ESCAPES), no).alias("data"),
-        F.coalesce(F.col("notice") | F.coalesce("copy", no) | F.coalesce(styled, no), no).alias("vendored"),
+        "file_id", F.coalesce(F.col("made") | (low & ~literal), no).alias("generated"), F.coalesce(F.col("packed") | mangled, no).alias("packed"),
+        F.coalesce((literal & (low | (F.col("literal") >= LEAST_DATA))) | (F.col("escapes") > ESCAPES), no).alias("data"),
+        F.coalesce(F.coalesce("foreign", no) | F.col("notice") | F.coalesce("copy", no), no).alias("vendored"),
+        mangled.alias("mangled"), low.alias("low_diversity"), F.coalesce("foreign", no).alias("foreign"),
     )
