@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from seamline.session import written
 
 #: Suffixes gathered in a task before they are passed on; bounds its memory.
 FLUSH_ROWS = 400_000
+#: Terms in a suffix where single terms are asked for: counts of terms come out of the sums of longer suffixes.
+SIGMA = 2
 RARE_BELOW = 3
 COMMON_SHARE = 0.4
 
@@ -56,26 +59,38 @@ def _combine(key: np.ndarray, cf: np.ndarray, new: np.ndarray) -> tuple[np.ndarr
     return k[at], order[at], np.add.reduceat(cf[order], at), np.add.reduceat(new[order], at, axis=0)
 
 
-def _local_suffixes(sigma: int):
-    schema = pa.schema([("suffix", pa.string()), ("route", pa.string()), ("cf", pa.int64()), ("new", pa.list_(pa.int64()))])
+def _columns(sigma: int) -> tuple[pa.Schema, str]:
+    """Suffixes as rows: their terms (empty where there are fewer), occurrences, and for each length the records in which
+    the prefix of that length is new."""
+    fields = [*((f"w{k}", pa.string()) for k in range(1, sigma + 1)), ("cf", pa.int64()), *((f"d{k}", pa.int64()) for k in range(1, sigma + 1))]
+    return pa.schema(fields), ", ".join(f"{name} {'string' if kind == pa.string() else 'bigint'}" for name, kind in fields)
+
 
-    def batch_of(suffix: list[str], cf: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
-        route = [" ".join(s.split(" ", 2)[:2]) for s in suffix]
-        lists = pa.ListArray.from_arrays(np.arange(0, len(suffix) * sigma + 1, sigma, dtype=np.int32), pa.array(new.ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(suffix, pa.string()), pa.array(route, pa.string()), pa.array(cf), lists], schema=schema)
+def _local_suffixes(sigma: int):
+    schema, _ = _columns(sigma)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[int, str] = {}
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        names: dict[int, str] = {0: ""}
+        parts: list[tuple[np.ndarray, ...]] = []  # key, cf, new, hashes of the terms
         held = records = occurrences = 0
 
+        def combined() -> tuple[np.ndarray, ...]:
+            key, cf, new, terms = (np.concatenate(x) for x in zip(*parts, strict=True))
+            k, at, cf, new = _combine(key, cf, new)
+            return k, cf, new, terms[at]
+
         def flush() -> Iterator[pa.RecordBatch]:
             if parts:
-                key, _, cf, new = _combine(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                for at in range(0, len(key), 20_000):
-                    yield batch_of([names[k] for k in key[at : at + 20_000].tolist()], cf[at : at + 20_000], new[at : at + 20_000])
+                _, cf, new, terms = combined()
+                known, place = np.unique(terms, return_inverse=True)
+                texts = pa.array([names[h] for h in known.tolist()], pa.string())
+                place = place.reshape(terms.shape)
+                for at in range(0, len(cf), 50_000):
+                    cut = slice(at, at + 50_000)
+                    yield pa.RecordBatch.from_arrays([*(texts.take(pa.array(place[cut, k])) for k in range(sigma)), pa.array(cf[cut]), *(pa.array(np.ascontiguousarray(new[cut, k])) for k in range(sigma))], schema=schema)
             parts.clear()
             names.clear()
+            names[0] = ""
 
         for _, texts in blocks(batches, 0):
             records += len(texts)
@@ -85,71 +100,87 @@ def _local_suffixes(sigma: int):
             occurrences += len(words.hashes)
             key, first, length, new = _suffix_arrays(words, sigma)
             k, at, cf, seen = _combine(key, np.ones(len(key), np.int64), new)
-            starts, ends, joined = words.starts, words.ends, words.joined
-            for one, i in zip(k.tolist(), at.tolist(), strict=True):
-                if one not in names:
-                    names[one] = " ".join([joined[starts[j] : ends[j]] for j in range(i, i + length[i])])
-            parts.append((k, cf, seen))
+            terms = np.zeros((len(at), sigma), np.uint64)
+            for j in range(sigma):
+                there = length[at] > j
+                terms[there, j] = words.hashes[at[there] + j]
+            one, where = np.unique(words.hashes, return_index=True)
+            for h, i in zip(one.tolist(), where.tolist(), strict=True):
+                if h not in names:
+                    names[h] = words.word(i)
+            parts.append((k, cf, seen, terms))
             held += len(k)
             if len(parts) > 1 and held > FLUSH_ROWS:
-                parts[:] = [tuple(_combine(*(np.concatenate(x) for x in zip(*parts, strict=True)))[j] for j in (0, 2, 3))]
+                parts[:] = [combined()]
                 held = len(parts[0][0])
                 if held > FLUSH_ROWS // 2:
                     yield from flush()
                     held = 0
         yield from flush()
         # The root of all suffixes, the empty prefix: total length and number of records.
-        yield batch_of([""], np.array([occurrences]), np.full((1, sigma), records))
+        yield pa.RecordBatch.from_arrays([*(pa.array([""]) for _ in range(sigma)), pa.array([occurrences], pa.int64()), *(pa.array([records], pa.int64()) for _ in range(sigma))], schema=schema)
 
     return run
 
 
 def _stack(sigma: int):
-    """Aggregate suffixes in reverse lexicographic order: a prefix is complete when a suffix without it arrives."""
+    """Aggregate suffixes in reverse lexicographic order: a prefix is complete when a suffix without it arrives.
+
+    The stack holds the open prefixes, one of each length, with their sums; the suffixes of a batch are summed up
+    between the places where a prefix changes, and only what is open at its end stays on the stack.
+    """
     schema = pa.schema([("ngram", pa.string()), ("n", pa.int32()), ("cf", pa.int64()), ("df", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_terms: list[str] = []
-        counts: list[list[int]] = []  # for each open prefix: cf, df
-        out: list[tuple[str, int, int, int]] = []
-
-        def close(depth: int) -> None:
-            while len(open_terms) > depth:
-                cf, df = counts.pop()
-                out.append((" ".join(open_terms), len(open_terms), cf, df))
-                open_terms.pop()
-                if counts:
-                    counts[-1][0] += cf
-
-        def emit() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=schema.names).cast(schema)
-            out.clear()
-            return batch
-
-        root_cf = root_df = 0
+        stack: list[tuple[list[str], int, int] | None] = [None] * (sigma + 1)  # by length: terms, cf, df
+
+        def done(n: int, grams: pa.Array, cf: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([grams, pa.array(np.full(len(cf), n, np.int32)), pa.array(cf), pa.array(df)], schema=schema)
+
+        def close(n: int) -> Iterator[pa.RecordBatch]:
+            if stack[n] is not None:
+                terms, cf, df = stack[n]
+                stack[n] = None
+                if n or df:  # no records, no row
+                    yield done(n, pa.array([" ".join(terms)]), np.array([cf]), np.array([df]))
+
         for batch in batches:
-            for suffix, cf, new in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not suffix:
-                    root_cf, root_df = root_cf + cf, root_df + new[0]
+            rows = batch.num_rows
+            if not rows:
+                continue
+            words = [batch.column(k) for k in range(sigma)]
+            cf = batch.column(sigma).to_numpy(zero_copy_only=False)
+            changed = np.zeros(rows, bool)
+            for n in range(sigma + 1):
+                if n:
+                    w = words[n - 1]
+                    changed[1:] |= pa.compute.not_equal(w.slice(1), w.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+                    inside = pa.compute.not_equal(w, "").to_numpy(zero_copy_only=False)
+                else:
+                    inside = pa.compute.equal(words[0], "").to_numpy(zero_copy_only=False)
+                df = batch.column(sigma + max(n, 1)).to_numpy(zero_copy_only=False)
+                begins = changed | (np.arange(rows) == 0)
+                begins[1:] |= ~inside[:-1]
+                at = np.flatnonzero(inside & begins)
+                if not len(at):
+                    yield from close(n)
                     continue
-                terms = suffix.split(" ")
-                shared = 0
-                while shared < len(open_terms) and shared < len(terms) and open_terms[shared] == terms[shared]:
-                    shared += 1
-                close(shared)
-                for term in terms[shared:]:
-                    open_terms.append(term)
-                    counts.append([0, 0])
-                counts[-1][0] += cf
-                for n in range(len(terms)):
-                    counts[n][1] += new[n]
-            if len(out) > 20_000:
-                yield emit()
-        close(0)
-        if root_df:
-            out.append(("", 0, root_cf, root_df))
-        if out:
-            yield emit()
+                # Rows of a group follow each other and are all long enough, but for shorter ones at its end.
+                sums_c, sums_d = (np.add.reduceat(np.where(inside, x, 0), at) for x in (cf, df))
+                first = [words[k][0].as_py() for k in range(n)]
+                if stack[n] is not None and at[0] == 0 and stack[n][0] == first:
+                    sums_c[0] += stack[n][1]
+                    sums_d[0] += stack[n][2]
+                    stack[n] = None
+                yield from close(n)
+                end = [words[k][int(at[-1])].as_py() for k in range(n)]
+                stack[n] = (end, int(sums_c[-1]), int(sums_d[-1]))
+                if len(at) > 1:
+                    take = pa.array(at[:-1])
+                    grams = pa.compute.binary_join_element_wise(*(words[k].take(take) for k in range(n)), " ") if n > 1 else words[0].take(take)
+                    yield done(n, grams, sums_c[:-1], sums_d[:-1])
+        for n in range(sigma + 1):
+            yield from close(n)
 
     return run
 
@@ -166,9 +197,9 @@ def ngram_counts(records: DataFrame, sigma: int = 1, text_col: str = "content")
     sorted in reverse lexicographic order and summed up on a stack. Routing takes the first two terms, so that a
     frequent first term spreads over tasks; the counts of single terms are summed once more at the end.
     """
-    text = F.col(text_col).cast("string").alias("text")
-    local = records.select(text).mapInArrow(_local_suffixes(sigma), "suffix string, route string, cf bigint, new array<bigint>")
-    routed = local.repartition("route").select("suffix", "cf", "new").sortWithinPartitions(F.desc("suffix"))
+    names = [f"w{k}" for k in range(1, sigma + 1)]
+    local = records.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_local_suffixes(sigma), _columns(sigma)[1])
+    routed = local.repartition(*names[:2]).sortWithinPartitions(*(F.desc(w) for w in names))
     counted = routed.mapInArrow(_stack(sigma), "ngram string, n int, cf bigint, df bigint")
     if sigma == 1:
         return counted
@@ -181,9 +212,9 @@ def distinct_records(rows: DataFrame, id_col: str = "id", text_col: str = "conte
     return rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("content")).dropDuplicates(["id"])
 
 
-def marked_terms(records: DataFrame, rare_below: int = RARE_BELOW, common_share: float = COMMON_SHARE, text_col: str = "content") -> DataFrame:
+def marked_terms(records: DataFrame, rare_below: int = RARE_BELOW, common_share: float = COMMON_SHARE, text_col: str = "content", sigma: int = SIGMA) -> DataFrame:
     """(term, cf, df, mark): rare for fewer than rare_below records, common for more than the share of all, else null."""
-    counts = written(ngram_counts(records, 1, text_col))
+    counts = written(ngram_counts(records, sigma, text_col).where(F.col("n") <= 1))
     total = counts.where(F.col("n") == 0).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("records"))  # one row
     mark = F.when(F.col("df") < rare_below, "rare").when(F.col("df") > F.lit(common_share) * F.col("records"), "common")
     return counts.where(F.col("n") == 1).crossJoin(F.broadcast(total)).select(F.col("ngram").alias("term"), "cf", "df", mark.alias("mark"))

@@ -52,6 +52,17 @@ def test_empty(spark):
     assert term_counts.ngram_counts(none, 3).count() == 0 and term_counts.marked_terms(none).count() == 0
 
 
+def test_stack_over_small_batches(table):
+    """Prefixes stay open from one batch to the next."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([t])], names=["text"]) for t in TEXTS]
+    whole = pa.Table.from_batches(list(term_counts._local_suffixes(3)(iter(batches)))).sort_by([(f"w{k}", "descending") for k in (1, 2, 3)]).combine_chunks()
+    for size in (1, 2, 5, 100):
+        out = [r for b in term_counts._stack(3)(iter(whole.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert {r["ngram"]: (r["cf"], r["df"]) for r in out if r["n"]} == plain(TEXTS, 3) and len(out) == len(plain(TEXTS, 3)) + 1
+
+
 def test_small_flushes(table, monkeypatch):
     run = term_counts._local_suffixes(2)
     import pyarrow as pa
