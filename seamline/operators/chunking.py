@@ -98,6 +98,12 @@ def chunk_documents(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int =
     return rows.mapInArrow(run, "file_path string, place int, content string, start_index bigint, end_index bigint")
 
 
+def unsupported(documents: DataFrame) -> DataFrame:
+    """Documents that chunk_documents leaves out for their extension."""
+    kind = F.lower(F.coalesce(F.col("extension"), suffix(F.col("file_path"))))
+    return documents.where(~F.coalesce(kind.isin(*SEPARATORS), F.lit(False)))
+
+
 def with_chunk_ids(chunks: DataFrame, start: int = 0) -> DataFrame:
     """chunk_id from start + 1 in order of file_path and place."""
     from seamline.operators.snapshots import assign_ids

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from seamline.functions import span
 
 INSTRUCTION = "You answer questions about a code base. Use only the given context. If the context does not hold the answer, say that you do not know."
+#: New tokens of an answer.
+MOST_TOKENS = 2048
 
 
 def context_text(hits: DataFrame, separator: str = "\n\n") -> DataFrame:
@@ -22,9 +24,10 @@ def context_text(hits: DataFrame, separator: str = "\n\n") -> DataFrame:
 
 
 def chat_prompt(question: Column, context: Column, instruction: str = INSTRUCTION) -> Column:
-    """Two messages: the instruction with the context, then the question."""
-    system = F.concat(F.lit(instruction), F.lit("\n\n"), F.coalesce(context, F.lit("")))
-    return F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), question.alias("content")))
+    """Two messages: the instruction, then the context with the question. Null where there is no context."""
+    user = F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), question)
+    messages = F.array(F.struct(F.lit("system").alias("role"), F.lit(instruction).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
+    return F.when(F.length(context) > 0, messages)
 
 
 def envelopes(questions: DataFrame, hits: DataFrame, answers: DataFrame | None = None) -> DataFrame:
@@ -58,13 +61,18 @@ def embed_column(load: Callable[[], Callable[[Sequence[str]], object]], text: Co
 
 
 def generate_column(load: Callable[[], Callable[[Sequence[str]], Sequence[str]]], prompt: Column, end_of_thought: str = "</think>") -> Column:
-    """Answers from a model that each worker loads once; text up to the last end_of_thought is dropped, then trimmed."""
+    """Answers from a model that each worker loads once; text up to the last end_of_thought is dropped, then
+    trimmed. A null prompt has no answer."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for batch in batches:
-            yield pd.Series([a.rpartition(end_of_thought)[2].strip() for a in model(batch.fillna("").tolist())])
+            asked = batch.notna()
+            answers = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            if asked.any():
+                answers[asked] = [a.rpartition(end_of_thought)[2].strip() for a in model(batch[asked].tolist())]
+            yield answers
 
     return run(prompt)
 
@@ -91,3 +99,39 @@ def _load_hashing(dim: int) -> Callable[[Sequence[str]], object]:
         return list(rows)
 
     return encode
+
+
+def sentence_embedder(name: str, cache_dir: str | None = None) -> Callable[[], Callable[[Sequence[str]], object]]:
+    """A sentence embedding model by name, with unit vectors; needs the library of that kind on the workers."""
+    return functools.partial(_load_sentences, name, cache_dir)
+
+
+def _load_sentences(name: str, cache_dir: str | None) -> Callable[[Sequence[str]], object]:
+    from sentence_transformers import SentenceTransformer
+
+    model = SentenceTransformer(name, cache_folder=cache_dir)
+    return lambda texts: list(model.encode(list(texts), normalize_embeddings=True))
+
+
+def chat_generator(name: str, cache_dir: str | None = None, most_tokens: int = MOST_TOKENS) -> Callable[[], Callable[[Sequence[str]], Sequence[str]]]:
+    """A chat model by name; prompts are JSON lists of messages. Needs the library of that kind on the workers."""
+    return functools.partial(_load_chat, name, cache_dir, most_tokens)
+
+
+def _load_chat(name: str, cache_dir: str | None, most_tokens: int) -> Callable[[Sequence[str]], Sequence[str]]:
+    import json
+
+    from transformers import AutoModelForCausalLM, AutoTokenizer
+
+    tokens = AutoTokenizer.from_pretrained(name, cache_dir=cache_dir)
+    model = AutoModelForCausalLM.from_pretrained(name, cache_dir=cache_dir)
+
+    def answer(prompts: Sequence[str]) -> list[str]:
+        out = []
+        for prompt in prompts:
+            ids = tokens.apply_chat_template(json.loads(prompt), add_generation_prompt=True, return_tensors="pt")
+            made = model.generate(ids, max_new_tokens=most_tokens)
+            out.append(tokens.decode(made[0][ids.shape[1] :], skip_special_tokens=True))  # without the prompt's own tokens
+        return out
+
+    return answer

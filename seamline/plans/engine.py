@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from seamline.functions import citation
 from seamline.operators import cache as caching
 from seamline.operators import chunking, fusion, lexical, prompting, recall, snapshots, vector
 from seamline.sources import IndexStore, read_questions, read_results, read_tree, write_results
-from seamline.sources.json_files import result_hits
+from seamline.sources.json_files import result_hits, result_path
+from seamline.sources.store import Draft
+from seamline.session import written
 
 MODES = ("keyword", "semantic", "hybrid")
 
@@ -25,46 +28,60 @@ class Engine:
 
     # --- index -----------------------------------------------------------------------------------------------
 
-    def index(self, raw: str | DataFrame, max_chunk_size: int = chunking.CHUNK_SIZE, use_embedding: bool = False, incremental: bool = False) -> int:
+    def index(self, raw: str | DataFrame, max_chunk_size: int = chunking.CHUNK_SIZE, use_embedding: bool = False, incremental: bool = False, use_keywords: bool = True) -> int:
         """Index a tree of files or a table (file_path, content, extension). Returns the number of chunks.
 
-        An incremental run re-chunks only files whose hash changed; it falls back to a full run where there is no
-        earlier index or the chunk size, model or vectors differ.
+        Keywords, vectors or both are indexed. An incremental run re-chunks only files whose hash changed; it falls back to
+        a full run where there is no earlier index, or the chunk size, the model or the kinds of index differ. All tables
+        are written first and become current together, so a run that fails leaves the index as it was.
         """
+        if not (use_keywords or use_embedding):
+            raise ValueError("there must be keywords, vectors or both")
         documents = raw if isinstance(raw, DataFrame) else read_tree(self.spark, raw)
         if documents.isEmpty():
-            raise ValueError("there is nothing to index")
+            raise ValueError(f"there is nothing to index{'' if isinstance(raw, DataFrame) else f' at {raw}'}")
+        if isinstance(raw, DataFrame) and (left_out := chunking.unsupported(documents).count()):
+            warnings.warn(f"{left_out} documents have an unsupported extension and are left out", stacklevel=2)
         meta = self.store.meta()
         hashes = snapshots.file_hashes(documents)
-        ready = self.store.has("chunks") and self.store.has("file_hashes") and meta.get("max_chunk_size") == max_chunk_size
-        vectors_ready = not use_embedding or (self.store.has("vectors") and meta.get("model") == self.model_name)
-        if incremental and ready and vectors_ready:
-            old = self.store.read("file_hashes")
-            affected = snapshots.affected_paths(old, hashes)
+        same = meta.get("max_chunk_size") == max_chunk_size and self.store.has("file_hashes") and self.store.has("postings") == use_keywords
+        # Vectors that exist must be of this engine's model, whether or not they are asked for.
+        same = same and (meta.get("model") == self.model_name and self.embedder is not None if self.store.has("vectors") else not use_embedding)
+        affected = None
+        if incremental and same and self.store.has("chunks"):
+            affected = snapshots.affected_paths(self.store.read("file_hashes"), hashes)
             if affected.isEmpty():
                 return self.store.read("chunks").count()
-            old_chunks = self.store.read("chunks")
+        draft = self.store.draft()
+        try:
+            count, top = self._write(draft, documents, hashes, affected, max_chunk_size, use_keywords, use_embedding)
+        except BaseException:
+            draft.drop()
+            raise
+        draft.publish(top_id=top, max_chunk_size=max_chunk_size, model=self.model_name if "vectors" in draft.places else None)
+        return count
+
+    def _write(self, draft: Draft, documents: DataFrame, hashes: DataFrame, affected: DataFrame | None, max_chunk_size: int, use_keywords: bool, use_embedding: bool) -> tuple[int, int]:
+        """All tables of a version; of an incremental one where the affected paths are given. Returns chunks and top id."""
+        if affected is not None:
+            old_chunks, top = self.store.read("chunks"), int(self.store.meta()["top_id"])
             fresh = chunking.chunk_documents(documents.join(affected, "file_path", "left_semi"), max_chunk_size)
-            fresh = chunking.with_chunk_ids(fresh, start=int(meta["top_id"]))
-            chunks = snapshots.merge_rows(old_chunks, fresh, affected)
-            vectors = None
-            if self.store.has("vectors"):
-                gone = snapshots.removed_rows(old_chunks, affected).select("chunk_id")
-                vectors = self.store.read("vectors").join(gone, "chunk_id", "left_anti").unionByName(self._embed(fresh))
-            top = fresh.agg(F.max("chunk_id")).first()[0] or int(meta["top_id"])
+            chunks = snapshots.merge_rows(old_chunks, chunking.with_chunk_ids(fresh, start=top), affected)
         else:
-            chunks = chunking.with_chunk_ids(chunking.chunk_documents(documents, max_chunk_size))
-            vectors = self._embed(chunks) if use_embedding else None
-            top = chunks.agg(F.max("chunk_id")).first()[0] or 0
-        if chunks.isEmpty():
+            chunks, top = chunking.with_chunk_ids(chunking.chunk_documents(documents, max_chunk_size)), 0
+        stored = draft.write("chunks", chunks)
+        row = stored.agg(F.count("*").alias("n"), F.max("chunk_id").alias("top")).first()
+        if not row.n:
             raise ValueError("no document has text to index")
-        self.store.publish({"chunks": chunks}, top_id=int(top), max_chunk_size=max_chunk_size)
-        stored = self.store.read("chunks")
-        tables = {"postings": lexical.bm25_postings(stored), "file_hashes": hashes}
-        if vectors is not None:
-            tables["vectors"] = vectors
-        self.store.publish(tables, keep=("chunks",), model=self.model_name)
-        return stored.count()
+        if use_keywords:
+            draft.write("postings", lexical.bm25_postings(stored).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"))
+        draft.write("file_hashes", hashes)
+        if affected is not None and self.store.has("vectors"):
+            kept = self.store.read("vectors").join(snapshots.kept_rows(old_chunks, affected).select("chunk_id"), "chunk_id", "left_semi")
+            draft.write("vectors", kept.unionByName(self._embed(stored.where(F.col("chunk_id") > top))))
+        elif use_embedding:
+            draft.write("vectors", self._embed(stored))
+        return row.n, max(top, row.top)
 
     def _embed(self, chunks: DataFrame) -> DataFrame:
         if self.embedder is None:
@@ -74,14 +91,19 @@ class Engine:
     # --- search ----------------------------------------------------------------------------------------------
 
     def hits(self, questions: DataFrame, k: int = 1, mode: str = "keyword", use_cache: bool = False) -> DataFrame:
-        """(question_id, rank, chunk_id, score) for all questions (question_id, question) in one plan."""
+        """(question_id, rank, chunk_id, score) for all questions (question_id, question) in one plan. With the cache only
+        questions that it lacks are searched, and what is found is put there."""
         k = lexical.check_k(k)
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
-        if use_cache and self.store.has("query_cache"):
+        if not use_cache:
+            return self._search(questions, k, mode)
+        missed, cached = questions.select("question_id", "question"), None
+        if self.store.has("query_cache"):
             cached, missed = caching.split_by_cache(questions, self.store.read("query_cache"), k, mode, self.store.meta()["version"])
-            return cached.unionByName(self._search(missed, k, mode))
-        return self._search(questions, k, mode)
+        found = written(self._search(missed, k, mode))
+        self.remember(missed, found, k, mode)
+        return found if cached is None else cached.unionByName(found)
 
     def _search(self, questions: DataFrame, k: int, mode: str) -> DataFrame:
         by_keyword = by_vector = None
@@ -112,34 +134,56 @@ class Engine:
     def _placed(self, hits: DataFrame) -> DataFrame:
         return hits.join(self.store.read("chunks"), "chunk_id")
 
-    def search(self, query: str, k: int = 1, mode: str = "keyword", question_id: str = "0") -> list[str]:
+    def search(self, query: str, k: int = 1, mode: str = "keyword", question_id: str = "0", use_cache: bool = False) -> list[str]:
         """Places of the k best chunks for one query, as 'path [start:end]'."""
         questions = self.spark.createDataFrame([(question_id, query)], "question_id string, question string")
-        rows = self._placed(self.hits(questions, k, mode)).orderBy("rank").select(citation().alias("place"))
+        rows = self._placed(self.hits(questions, k, mode, use_cache)).orderBy("rank").select(citation().alias("place"))
         return [r.place for r in rows.take(k)]
 
-    def search_dataset(self, dataset_path: str, save_path: str, k: int = 1, mode: str = "keyword") -> None:
+    def search_dataset(self, dataset_path: str, save_path: str | None = None, k: int = 1, mode: str = "keyword", save_directory: str = ".", save_file: str | None = None) -> str:
+        """Search all questions of a file; results go to save_path, or to save_file or the data set's name in a folder."""
+        save_path = save_path or result_path(save_directory, save_file, dataset_path)
         questions = read_questions(self.spark, dataset_path)
         found = prompting.envelopes(questions, self._placed(self.hits(questions, k, mode)))
         write_results(found.join(questions.select("question_id", "pos"), "question_id"), save_path, k)
+        return save_path
 
     # --- answers ---------------------------------------------------------------------------------------------
 
-    def answer_rows(self, questions: DataFrame, hits: DataFrame, generator: Callable) -> DataFrame:
-        """(question_id, answer) from the contents of the given hits."""
-        context = prompting.context_text(self._placed(hits))
+    def answer_rows(self, questions: DataFrame, placed: DataFrame, generator: Callable) -> DataFrame:
+        """(question_id, answer) from hits with their content. A question without hits has a null answer."""
+        context = prompting.context_text(placed)
         prompts = questions.join(context, "question_id", "left").select("question_id", F.to_json(prompting.chat_prompt(F.col("question"), F.col("context"))).alias("prompt"))
         return prompts.select("question_id", prompting.generate_column(generator, F.col("prompt")).alias("answer"))
 
-    def answer(self, query: str, generator: Callable, k: int = 1, mode: str = "keyword") -> str:
-        questions = self.spark.createDataFrame([("0", query)], "question_id string, question string")
-        return self.answer_rows(questions, self.hits(questions, k, mode), generator).first().answer
-
-    def answer_dataset(self, dataset_path: str, save_path: str, generator: Callable, k: int = 1, mode: str = "keyword") -> None:
+    def answer(self, query: str, generator: Callable, k: int = 1, mode: str = "keyword", question_id: str = "0", save_path: str | None = None) -> str:
+        questions = self.spark.createDataFrame([(question_id, query)], "question_id string, question string")
+        hits = written(self._placed(self.hits(questions, k, mode)))
+        if hits.isEmpty():
+            raise ValueError("no chunk matches the query, so there is no context to answer from")
+        answers = written(self.answer_rows(questions, hits, generator))
+        if save_path:
+            write_results(prompting.envelopes(questions, hits, answers), save_path, k)
+        return answers.first().answer
+
+    def answer_dataset(self, dataset_path: str, save_path: str | None = None, generator: Callable | None = None, k: int = 1, mode: str = "keyword", save_directory: str = ".") -> str:
+        """Search and answer all questions of a file."""
         questions = read_questions(self.spark, dataset_path)
-        hits = self.hits(questions, k, mode)
-        rows = prompting.envelopes(questions, self._placed(hits), self.answer_rows(questions, hits, generator))
+        return self._answer_all(questions, written(self._placed(self.hits(questions, k, mode))), save_path or result_path(save_directory, None, dataset_path), generator, k)
+
+    def answer_results(self, results_path: str, save_path: str | None = None, generator: Callable | None = None, save_directory: str = ".") -> str:
+        """Answer saved search results from the chunks they name; nothing is searched again."""
+        results = written(read_results(self.spark, results_path))
+        first = results.select("k").first()
+        placed = result_hits(results).join(self.store.read("chunks"), ["file_path", "start_index", "end_index"])
+        return self._answer_all(results.select("pos", "question_id", F.coalesce("question", "question_str").alias("question")), placed, save_path or result_path(save_directory, None, results_path), generator, int(first.k or 0) if first else 0)
+
+    def _answer_all(self, questions: DataFrame, placed: DataFrame, save_path: str, generator: Callable | None, k: int) -> str:
+        if generator is None:
+            raise ValueError("answers need a generator")
+        rows = prompting.envelopes(questions, placed, self.answer_rows(questions, placed, generator))
         write_results(rows.join(questions.select("question_id", "pos"), "question_id"), save_path, k)
+        return save_path
 
     # --- evaluation ------------------------------------------------------------------------------------------
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,13 +34,15 @@ def local_session(cores: int | str = "*", **conf: object) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is set."""
+    """The folder named by spark.checkpoint.dir. Only a local master may do without: it gets a folder of its own."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), f"seamline-{uuid.uuid4().hex}")
     context.setCheckpointDir(named)
     return context.getCheckpointDir() or named
@@ -49,9 +54,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_kept: set[str] = set()
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    from seamline.sources.files import delete
+
+    with contextlib.suppress(Exception):  # the session may be gone
+        delete(spark, folder)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The same rows read back from a Parquet table in the shared folder: later reads take only the columns they need."""
+    """The same rows read back from a Parquet table in the shared folder: later reads take only the columns they need.
+
+    The tables of an application are deleted when its driver ends.
+    """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _kept:
+        _kept.add(folder)
+        atexit.register(_forget, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

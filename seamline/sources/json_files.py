@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.schemas import QUESTION_FILE, RESULT_FILE
+from seamline.sources.files import replace_text
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -32,15 +34,19 @@ def result_hits(results: DataFrame) -> DataFrame:
 
 def write_results(results: DataFrame, path: str, k: int) -> None:
     """One indented JSON document under exactly this name; rows are streamed in question order, not collected."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     order = "pos" if "pos" in results.columns else "question_id"
     lines = results.orderBy(order).select(F.to_json(F.struct(*[c for c in results.columns if c not in ("pos", "k")]), {"ignoreNullFields": "false"}))
-    temporary = f"{path}.partial"
-    with open(temporary, "w", encoding="utf-8") as out:
-        out.write('{\n  "search_results": [')
+
+    def parts() -> Iterator[str]:
+        yield '{\n  "search_results": ['
         for i, row in enumerate(lines.toLocalIterator()):
             body = json.dumps(json.loads(row[0]), indent=2, ensure_ascii=False)
-            out.write(",\n    " if i else "\n    ")
-            out.write(body.replace("\n", "\n    "))
-        out.write(f'\n  ],\n  "k": {int(k)}\n}}\n')
-    os.replace(temporary, path)
+            yield (",\n    " if i else "\n    ") + body.replace("\n", "\n    ")
+        yield f'\n  ],\n  "k": {int(k)}\n}}\n'
+
+    replace_text(results.sparkSession, path, parts())
+
+
+def result_path(save_directory: str, save_file: str | None, dataset_path: str) -> str:
+    """The file of results: save_file, or the name of the data set, below the directory."""
+    return f"{save_directory.rstrip('/')}/{save_file or os.path.basename(dataset_path)}"
