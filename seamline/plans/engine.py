@@ -108,8 +108,7 @@ class Engine:
     def _search(self, questions: DataFrame, k: int, mode: str) -> DataFrame:
         by_keyword = by_vector = None
         if mode != "semantic":
-            asked = lexical.query_terms(questions)
-            by_keyword = lexical.top_k(lexical.bm25_scores(self.store.read("postings"), asked), k)
+            by_keyword = lexical.bm25_top_k(self.store.read("postings"), questions, k)
         if mode != "keyword":
             if self.embedder is None:
                 raise ValueError("semantic search needs an embedder")
