@@ -24,7 +24,11 @@ BANDS = 40
 ROWS = 4
 #: A bucket larger than this is compared in blocks of this size, in tasks of their own.
 BUCKET_BLOCK = 2048
-#: Cells of the table that tells which buckets are split: its size is fixed, whatever the data.
+#: In a bucket larger than this, signatures are compared before pairs are handed on.
+SIGNED_ABOVE = 64
+#: Rows of whole buckets that a task compares at a time.
+HELD_ROWS = 200_000
+#: Cells of the table that tells where such buckets may be: its size is fixed, whatever the data.
 HOT_CELLS = 1 << 16
 #: Bits of the filter that keeps only texts in candidate pairs: its size is fixed; a full filter costs time only.
 FILTER_BITS = 1 << 23
@@ -94,8 +98,12 @@ def _repeated_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(band[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["band", "n"])
 
 
-def _emit_bands(cells: np.ndarray):
-    """(bucket, digest, side, component, signature) rows; a text in a split bucket goes to all pairs of blocks with its own."""
+_BAND_ROWS = "bucket bigint, digest bigint, side tinyint, component bigint, signature binary"
+
+
+def _emit_bands(cells: np.ndarray | None, large: bool):
+    """(bucket, digest, side, component, signature) rows, one for each band of every text: of the bands in cells of large
+    buckets with the signature, or of all others without it."""
     schema = pa.schema([("bucket", pa.int64()), ("digest", pa.int64()), ("side", pa.int8()), ("component", pa.int64()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,29 +114,15 @@ def _emit_bands(cells: np.ndarray):
                 continue
             n, bands = keys.shape
             flat, owner = keys.ravel(), np.repeat(np.arange(n), bands)
+            if cells is not None:
+                chosen = cells[(mix(flat.view(np.uint64)) % np.uint64(HOT_CELLS)).astype(np.int64)] == large
+                flat, owner = flat[chosen], owner[chosen]
             component = batch.column(3).take(pa.array(fresh))  # null: a component of its own
-            parts = cells[mix(flat.view(np.uint64)) % np.uint64(HOT_CELLS)]
-            plain = parts < 2
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[plain]), pa.array(digest[owner[plain]]), pa.array(np.zeros(plain.sum(), np.int8)), component.take(pa.array(owner[plain])), pa.nulls(int(plain.sum()), pa.binary())], schema=schema
-            )
-            hot = np.flatnonzero(~plain)
-            if not len(hot):
-                continue
-            signature = batch.column(2).take(pa.array(fresh)).to_pylist()
-            out: list[tuple[int, int, int, int | None, bytes]] = []
-            for i in hot.tolist():
-                s, d = int(parts[i]), int(digest[owner[i]])
-                mine = int(mix(np.array([d], np.int64).view(np.uint64))[0] % np.uint64(s))
-                for other in range(s):
-                    lo, hi = min(mine, other), max(mine, other)
-                    bucket = mix(flat[i : i + 1].view(np.uint64) + np.uint64(1 + lo * s + hi)).view(np.int64)[0]
-                    out.append((int(bucket), d, 0 if lo == hi else 1 if mine == lo else 2, component[int(owner[i])].as_py(), signature[owner[i]]))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=schema.names).cast(schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=schema.names).cast(schema)
+            signature = batch.column(2).take(pa.array(fresh))
+            for at in range(0, len(flat), 50_000):
+                own = owner[at : at + 50_000]
+                signed = signature.take(pa.array(own)) if large else pa.nulls(len(own), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + 50_000]), pa.array(digest[own]), pa.array(np.zeros(len(own), np.int8)), component.take(pa.array(own)), signed], schema=schema)
 
     return run
 
@@ -140,8 +134,8 @@ def _least_equal(similarity: float, n: int) -> float:
 
 
 def _bucket_pairs(similarity: float):
-    """Pairs (a, b), a < b, of different texts in one bucket that are not known to be joined already; in split
-    buckets only those whose signatures agree."""
+    """Pairs (a, b), a < b, of different texts in one bucket that are not known to be joined already; where the rows hold
+    signatures only those that agree. Rows come sorted by bucket."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def batch_of(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> pa.RecordBatch:
@@ -151,9 +145,21 @@ def _bucket_pairs(similarity: float):
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(bucket, bucket[-1], "left"))
+            if cut and sum(b.num_rows for b in held) > HELD_ROWS:
+                yield from compare([*held, batch.slice(0, cut)])
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+        if held:
+            yield from compare(held)
+
+    def compare(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
         bucket, digest, side = (table.column(i).to_numpy() for i in range(3))
         component = pa.compute.coalesce(table.column(3), table.column(1)).to_numpy()
@@ -266,42 +272,58 @@ class Texts:
         self._cells: np.ndarray | None = None
 
     def cells(self) -> np.ndarray:
-        """Into how many blocks the buckets of each cell are split."""
+        """The cells with a bucket above SIGNED_ABOVE."""
         if self._cells is None:
-            hot = self.signed.select("digest", "bands").mapInArrow(_repeated_bands, "band bigint, n bigint").groupBy("band").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET_BLOCK)
+            many = self.signed.select("digest", "bands").mapInArrow(_repeated_bands, "band bigint, n bigint").groupBy("band").agg(F.sum("n").alias("n")).where(F.col("n") > SIGNED_ABOVE)
 
             def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     at = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(HOT_CELLS)
-                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), batch.column(1)], names=["cell", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(at.astype(np.int64)))], names=["cell"])
 
-            self._cells = np.zeros(HOT_CELLS, np.int32)
-            for row in hot.mapInArrow(cell, "cell bigint, n bigint").groupBy("cell").agg(F.max("n").alias("n")).collect():  # at most HOT_CELLS rows
-                self._cells[row.cell] = -(-row.n // BUCKET_BLOCK)
+            self._cells = np.zeros(HOT_CELLS, bool)
+            for row in many.select("band").mapInArrow(cell, "cell bigint").distinct().collect():  # at most HOT_CELLS rows
+                self._cells[row.cell] = True
         return self._cells
 
+    def _banded(self, keyed: DataFrame, large: bool | None) -> DataFrame:
+        """Band rows of (digest, bands, signature, component): of large buckets, of the others, or of all."""
+        shared = self.signed.sparkSession.sparkContext.broadcast(None if large is None else self.cells())
+        return keyed.select("digest", "bands", "signature", "component").mapInArrow(lambda it: _emit_bands(shared.value, bool(large))(it), _BAND_ROWS)
+
+    def _alone(self) -> DataFrame:
+        return self.signed.select("digest", "bands", "signature", F.lit(None).cast("bigint").alias("component"))
+
     def candidates(self, joined: DataFrame | None = None) -> DataFrame:
-        """Pairs (a, b) with a common band; with joined (node, component) only those of different components."""
-        keyed = self.signed.select("digest", "bands", "signature", F.lit(None).cast("bigint").alias("component"))
+        """Pairs (a, b) with a common band; with joined (node, component) only those of different components.
+
+        The exact size of a large bucket is counted before its rows are dealt to blocks; one whose texts are joined
+        already, or that turns out to hold a single text, is dropped before.
+        """
+        keyed = self._alone()
         if joined is not None:
             known = joined.select(F.col("node").alias("digest"), F.col("component").alias("found"))
-            keyed = keyed.join(known, "digest", "left").select("digest", "bands", "signature", F.col("found").alias("component"))
-        shared = self.signed.sparkSession.sparkContext.broadcast(self.cells())
-        emitted = keyed.mapInArrow(lambda it: _emit_bands(shared.value)(it), "bucket bigint, digest bigint, side tinyint, component bigint, signature binary")
-        return emitted.repartition("bucket").mapInArrow(_bucket_pairs(self.similarity), "a bigint, b bigint").distinct()
+            keyed = self.signed.select("digest", "bands", "signature").join(known, "digest", "left").select("digest", "bands", "signature", F.col("found").alias("component"))
+        rows = self._banded(keyed, False)
+        if self.cells().any():
+            large = written(self._banded(keyed, True).dropDuplicates(["bucket", "digest"]))
+            part = F.coalesce("component", "digest")
+            sizes = large.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("blocks"), F.min(part).alias("low"), F.max(part).alias("high")).where("low < high")
+            dealt = large.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            low, high = F.least("mine", "other"), F.greatest("mine", "other")
+            side = F.when(low == high, 0).when(F.col("mine") == low, 1).otherwise(2).cast("tinyint")
+            rows = rows.unionByName(dealt.select(F.xxhash64("bucket", low, high).alias("bucket"), "digest", side.alias("side"), "component", "signature"))
+        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(self.similarity), "a bigint, b bigint").distinct()
 
     def stars(self) -> DataFrame:
         """Pairs (a, b) of the smallest digest of a bucket with each other one: as many as rows, however large a bucket."""
-        none = np.zeros(HOT_CELLS, np.int32)
-        rows = self.signed.select("digest", "bands", "signature", F.lit(None).cast("bigint").alias("component")).mapInArrow(_emit_bands(none), "bucket bigint, digest bigint, side tinyint, component bigint, signature binary").select("bucket", "digest")
+        rows = self._banded(self._alone(), None).select("bucket", "digest")
         least = rows.groupBy("bucket").agg(F.min("digest").alias("a"), F.max("digest").alias("most")).where("a < most").select("bucket", "a")
         return rows.join(least, "bucket").where("digest != a").select("a", F.col("digest").alias("b")).distinct()
 
     def candidates_with(self, chosen: DataFrame) -> DataFrame:
         """Pairs (a, b) with a common band of which at least one is among the chosen (digest): linear in the other texts."""
-        none = np.zeros(HOT_CELLS, np.int32)
-        keyed = self.signed.select("digest", "bands", "signature", F.lit(None).cast("bigint").alias("component"))
-        rows = keyed.mapInArrow(_emit_bands(none), "bucket bigint, digest bigint, side tinyint, component bigint, signature binary").select("bucket", "digest")
+        rows = self._banded(self._alone(), None).select("bucket", "digest")
         mine = rows.join(chosen, "digest", "left_semi").distinct()
         met = rows.join(mine.withColumnRenamed("digest", "chosen"), "bucket").where("digest != chosen")
         return met.select(F.least("digest", "chosen").alias("a"), F.greatest("digest", "chosen").alias("b")).distinct()
@@ -348,21 +370,27 @@ def near_pairs(records: DataFrame, similarity: float = SIMILARITY, width: int =
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def representative_pairs(records: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, **options: object) -> tuple[DataFrame, DataFrame]:
+    """(membership, pairs): membership (id, rep), one row per record with the smallest id of its copies, and the similar
+    pairs (a, b, similarity), a < b, of these representatives. Copies are not expanded, so both grow with the records and
+    the different texts only."""
+    members, links = similar_texts(records, similarity, width, **options)
+    reps = members.groupBy("digest").agg(F.min("rep").alias("rep"))
+    named = links.join(reps.select(F.col("digest").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("digest").alias("b"), F.col("rep").alias("y")), "b")
+    return members.select("id", "rep"), named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
 def near_groups(records: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """(id, group_id): one row per record with words enough for a shingle.
 
     group_id is the smallest id among all records joined to it by similar texts. Copies share a group and are never
-    expanded into pairs. Where some bucket is large, buckets are first joined by stars, as many pairs as rows; all
-    other pairs of a bucket are compared only where the stars left them apart, so a large group of small edits costs
-    no pairs of its members, and no link between groups is lost. Both ways give the same groups.
+    expanded into pairs. Buckets are first joined by stars, as many pairs as rows; all other pairs of a bucket are
+    compared only where the stars left them apart, so a large group of small edits costs no pairs of its members, and no
+    link between groups is lost.
     """
     texts = Texts(records, similarity, width, bands, rows, id_col, text_col)
-    if texts.cells().any():
-        first = texts.verified(texts.stars())
-        more = texts.verified(texts.candidates(components(first, "a", "b")))
-        links = first.unionByName(more)
-    else:
-        links = texts.verified(texts.candidates())
+    first = texts.verified(texts.stars())
+    links = first.unionByName(texts.verified(texts.candidates(components(first, "a", "b"))))
     joined = components(links, "a", "b")
     placed = texts.members.join(joined.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     least = placed.groupBy("component").agg(F.min("rep").alias("group_id"))

@@ -75,6 +75,15 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_groups(table(spark, sf, "chunks"), **P6).select(F.col("id").alias("chunk_id"), "group_id")
 
 
+@query
+def p6_representatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Similar pairs of chunks that stand for all their exact copies, with how many records each stands for."""
+    membership, pairs = near_duplicates.representative_pairs(table(spark, sf, "chunks"), **P6)
+    sizes = membership.groupBy("rep").agg(F.count("*").alias("n"))
+    left, right = (sizes.select(F.col("rep").alias(side), F.col("n").alias(f"copies_{side}")) for side in ("a", "b"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"), "copies_a", "copies_b")
+
+
 ORACLES["p6_found"] = r"""WITH w AS (SELECT id, regexp_extract_all(lower(any_value(content)), '[\p{L}\p{N}_]+') AS w FROM chunks WHERE content IS NOT NULL GROUP BY id),
 g AS (SELECT DISTINCT id, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 n AS (SELECT id, count(*) AS n FROM g GROUP BY id),

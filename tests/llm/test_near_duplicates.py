@@ -80,6 +80,57 @@ def test_split_buckets_find_the_same(spark, monkeypatch):
     assert {r.group_id for r in nd.near_groups(df, 0.8, 3).collect()} == {0}
 
 
+def groups_of(pairs, ids):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {i: find(i) for i in parent}
+
+
+@pytest.mark.parametrize(("signed", "block"), [(64, 2048), (10, 2048), (10, 16)])
+def test_linked_groups_in_buckets_of_any_size(spark, monkeypatch, signed, block):
+    """Several groups, some linked by one text between them, compared with brute force however buckets are dealt."""
+    monkeypatch.setattr(nd, "SIGNED_ABOVE", signed)
+    monkeypatch.setattr(nd, "BUCKET_BLOCK", block)
+    monkeypatch.setattr(nd, "HELD_ROWS", 50)
+    rng = random.Random(8)
+    texts, n = {}, 0
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(40):
+            copy = list(base)
+            copy[rng.randrange(60)] = f"own{n}"
+            texts[n] = " ".join(copy)
+            n += 1
+        if g % 2:  # a chain of texts from this group to the one before
+            other = [f"g{g - 1}w{i}" for i in range(60)]
+            for cut in range(3, 60, 3):
+                texts[n] = " ".join(other[:cut] + base[cut:])
+                n += 1
+    df = spark.createDataFrame(list(texts.items()), "id bigint, content string").repartition(3)
+    expected = brute(texts, 3, 0.8)
+    assert {tuple(r) for r in nd.near_pairs(df, 0.8, 3).collect()} == expected
+    assert {r.id: r.group_id for r in nd.near_groups(df, 0.8, 3).collect()} == groups_of(expected, texts)
+
+
+def test_representatives(spark):
+    texts = corpus()
+    df = spark.createDataFrame(list(texts.items()), "id bigint, content string")
+    membership, pairs = nd.representative_pairs(df, 0.6, 3)
+    stands = {r.id: r.rep for r in membership.collect()}
+    got = {(r.a, r.b) for r in pairs.collect()}
+    every = {tuple(r) for r in nd.near_pairs(df, 0.6, 3).collect()}
+    assert got == {tuple(sorted((stands[a], stands[b]))) for a, b in every if stands[a] != stands[b]}
+    assert set(stands) == {i for i, t in texts.items() if shingles(t, 3)}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "id bigint, content string")
     assert nd.near_pairs(none).count() == 0 and nd.near_groups(none).count() == 0
