@@ -32,16 +32,22 @@ class Token(NamedTuple):
     end: int
 
 
+class Tokens(list):
+    """The tokens of a text; brackets are matched once, in one pass."""
+
+    closing: dict[int, int] | None = None
+
+
 _PY = re.compile(
-    r"""(?P<comment>\#[^\n]*)
+    r"""(?P<skip>\\\r?\n|[ \t\r\f﻿]+)|(?P<word>[^\W\d]\w*+(?!["']))|(?P<comment>\#[^\n]*)
     |(?P<string>[A-Za-z]{0,2}(?:\"\"\"(?:\\.|(?!\"\"\")[^\\])*(?:\"\"\"|\\?\Z)|'''(?:\\.|(?!''')[^\\])*(?:'''|\\?\Z)|"(?:\\.|[^"\\\n])*(?:"|(?=\n)|\\?\Z)|'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\\?\Z)))
-    |(?P<name>[^\W\d]\w*)|(?P<number>\d[\w.]*)|(?P<newline>\n)|(?P<skip>\\\r?\n|[ \t\r\f﻿]+)|(?P<other>.)""",
+    |(?P<name>[^\W\d]\w*)|(?P<number>\d[\w.]*)|(?P<newline>\n)|(?P<other>.)""",
     re.X | re.S,
 )
 _GO = re.compile(
-    r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))
+    r"""(?P<skip>[ \t\r\f﻿]+)|(?P<word>[^\W\d]\w*+)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))
     |(?P<string>`[^`]*(?:`|\Z)|"(?:\\.|[^"\\\n])*(?:"|(?=\n)|\\?\Z)|'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\\?\Z))
-    |(?P<name>[^\W\d]\w*)|(?P<number>\d[\w.]*)|(?P<newline>\n)|(?P<skip>[ \t\r\f﻿]+)|(?P<other>.)""",
+    |(?P<number>\d[\w.]*)|(?P<newline>\n)|(?P<other>.)""",
     re.X | re.S,
 )
 _SCRIPT = re.compile(
@@ -54,12 +60,13 @@ _REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*", re
 _BEFORE_REGEX = frozenset("return typeof case in of delete void throw new else do yield await instanceof".split())
 
 
-def _lex(text: str, pattern: re.Pattern) -> list[Token]:
-    out = []
+def _lex(text: str, pattern: re.Pattern) -> Tokens:
+    out, new = Tokens(), tuple.__new__
     for m in pattern.finditer(text):
         kind = m.lastgroup
         if kind != "skip":
-            out.append(Token(m.group() if kind == "other" else kind, m.start(), m.end()))
+            start, end = m.span()
+            out.append(new(Token, ("name" if kind == "word" else text[start] if kind == "other" else kind, start, end)))
     return out
 
 
@@ -96,8 +103,8 @@ def _template_end(text: str, at: int) -> int:
     return n
 
 
-def _lex_script(text: str) -> list[Token]:
-    out: list[Token] = []
+def _lex_script(text: str) -> Tokens:
+    out = Tokens()
     at, n, before = 0, len(text), None
     while at < n:
         c = text[at]
@@ -130,18 +137,16 @@ class _Lines:
         return bisect_right(self.starts, position)
 
 
-def _closing(tokens: list[Token], at: int) -> int:
+def _closing(tokens: Tokens, at: int) -> int:
     """Index of the token that closes the bracket at index `at`; the last index where none does."""
-    depth = 0
-    for i in range(at, len(tokens)):
-        kind = tokens[i].kind
-        if kind in ("(", "[", "{"):
-            depth += 1
-        elif kind in (")", "]", "}"):
-            depth -= 1
-            if depth == 0:
-                return i
-    return len(tokens) - 1
+    if tokens.closing is None:
+        tokens.closing, opened = {}, []
+        for i, token in enumerate(tokens):
+            if token.kind in ("(", "[", "{"):
+                opened.append(i)
+            elif token.kind in (")", "]", "}") and opened:
+                tokens.closing[opened.pop()] = i
+    return tokens.closing.get(at, len(tokens) - 1)
 
 
 def _python(text: str) -> Iterator[Found]:
@@ -264,7 +269,7 @@ def _script(text: str) -> Iterator[Found]:
     for t in every:
         if t.kind == "comment" and text.startswith("/**", t.start) and text.endswith("*/", 0, t.end) and t.end - t.start > 4:
             docs[lines.of(t.end - 1)] = text[t.start + 3 : t.end - 2]
-    tokens = [t for t in every if t.kind not in ("comment", "newline")]
+    tokens = Tokens(t for t in every if t.kind not in ("comment", "newline"))
     n = len(tokens)
     word = lambda i: text[tokens[i].start : tokens[i].end] if 0 <= i < n and tokens[i].kind == "name" else ""
     stack: list[str] = []  # for each open bracket: "class" for a class body, else the bracket

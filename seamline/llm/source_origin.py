@@ -83,6 +83,8 @@ NOTICE_WORDS = frozenset("copyright c the of part all rights reserved project au
 
 _NAME = re.compile(r"[^\W\d][\w$]*")
 _SPLIT = re.compile(r"[^\W_\d]+")
+_BLANK = frozenset(("comment", "newline"))
+_LITERAL = frozenset(("string", "number", ",", "{", "}", "[", "]", "(", ")", ":", "-", "regex"))
 _NUMBERS = re.compile(r"\d+")
 
 
@@ -207,12 +209,12 @@ def diversity(text: str, tokens: list[Token]) -> float | None:
     a name with its numbers replaced, the kind of a literal, or a sign."""
     stems: dict[str, str] = {}
     shapes = []
-    for t in tokens:
-        if t.kind == "name":
-            name = text[t.start : t.end]
+    for kind, start, end in tokens:
+        if kind == "name":
+            name = text[start:end]
             shapes.append(stems.get(name) or stems.setdefault(name, _NUMBERS.sub("0", name)))
-        elif t.kind not in ("comment", "newline"):
-            shapes.append(t.kind)
+        elif kind not in _BLANK:
+            shapes.append(kind)
     if len(shapes) < LEAST_TOKENS:
         return None
     found = total = 0
@@ -239,8 +241,12 @@ def features(path: str | None, text: str, repo: str | None) -> tuple:
     tokens = tokens_of(text, language)
     names = names_of(text, language, tokens)
     unique = set(names)
-    code = sum(t.end - t.start for t in tokens if t.kind not in ("comment", "newline"))
-    literal = sum(t.end - t.start for t in tokens if t.kind in ("string", "number", ",", "{", "}", "[", "]", "(", ")", ":", "-", "regex"))
+    code = literal = 0
+    for kind, start, end in tokens:
+        if kind not in _BLANK:
+            code += end - start
+            if kind in _LITERAL:
+                literal += end - start
     at, bare = 0, []
     for t in tokens:
         if t.kind in ("string", "comment"):
