@@ -109,4 +109,4 @@ def with_chunk_ids(chunks: DataFrame, start: int = 0) -> DataFrame:
     from seamline.operators.snapshots import assign_ids
 
     top = chunks.sparkSession.range(1).select(F.lit(start).cast("bigint").alias("top"))
-    return assign_ids(chunks, top, order_by="place").select("chunk_id", "content", "start_index", "end_index", "file_path")
+    return assign_ids(chunks, top, ordinal="place").select("chunk_id", "content", "start_index", "end_index", "file_path")

@@ -42,6 +42,19 @@ def recall_per_question(questions: DataFrame, hits: DataFrame, k: int, threshold
     return every.select("question_id", n_gold.cast("bigint").alias("n_gold"), n_found.cast("bigint").alias("n_found"), recall.alias("recall"))
 
 
+def recall_at(questions: DataFrame, hits: DataFrame, ks: tuple[int, ...], threshold: float = IOU_THRESHOLD) -> DataFrame:
+    """(k, recall): the mean recall at several k in one pass, by the smallest rank that hits each gold span."""
+    hit = hits.where(F.col("rank") < max(ks)).groupBy("question_id", "file_path", "start_index", "end_index").agg(F.min("rank").alias("rank"))
+    gold = gold_spans(questions)
+    overlap = iou(F.col("first_character_index"), F.col("last_character_index"), F.col("start_index"), F.col("end_index"))
+    first = gold.join(hit, ["question_id", "file_path"]).where(overlap >= F.lit(threshold)).groupBy("question_id", "gold_id").agg(F.min("rank").alias("first"))
+    found = gold.select("question_id", "gold_id").join(first, ["question_id", "gold_id"], "left")
+    counted = found.groupBy("question_id").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("first") < k, 1)).alias(f"found_{k}") for k in ks))
+    every = questions.select("question_id").distinct().join(counted, "question_id", "left")
+    means = every.agg(*(F.avg(F.coalesce(F.col(f"found_{k}").cast("double") / F.col("n").cast("double"), F.lit(0.0))).alias(f"recall_{k}") for k in ks))
+    return means.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"recall_{k}").alias("recall")) for k in ks))).alias("r")).select("r.k", "r.recall")
+
+
 def mean_recall(per_question: DataFrame) -> DataFrame:
     """One row: n_questions and the plain mean of recall (null for no questions)."""
     return per_question.agg(F.count("*").alias("n_questions"), F.avg("recall").alias("recall"))

@@ -41,15 +41,16 @@ def removed_rows(rows: DataFrame, affected: DataFrame) -> DataFrame:
     return rows.join(affected.select("file_path"), "file_path", "left_semi")
 
 
-def assign_ids(rows: DataFrame, high_water: DataFrame, order_by: str = "start_index", id_col: str = "chunk_id") -> DataFrame:
+def assign_ids(rows: DataFrame, high_water: DataFrame, order_by: str = "start_index", id_col: str = "chunk_id", ordinal: str | None = None) -> DataFrame:
     """Number rows of (file_path, start_index, ...) in file order after the largest id ever given.
 
     high_water: one row with column top. Ids come from a prefix sum over the counts per file plus the place in the
-    file, so no stage sorts all rows in one task; the prefix sum itself handles one row per file, in ranges.
+    file, so no stage sorts all rows in one task; the prefix sum itself handles one row per file, in ranges. Where rows
+    already bear their place in the file (ordinal, from 0) the rows of a file are not brought together at all.
     """
     from seamline.session import cut
 
-    place = F.row_number().over(Window.partitionBy("file_path").orderBy(order_by))
+    place = F.col(ordinal) + 1 if ordinal else F.row_number().over(Window.partitionBy("file_path").orderBy(order_by))
     counts = rows.groupBy("file_path").agg(F.count("*").alias("n"))
     # The ranges come from a sample: they are drawn once.
     ranged = cut(counts.repartitionByRange("file_path").withColumn("part", F.spark_partition_id()))

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from seamline.functions import usable_vector
 from seamline.operators.lexical import check_k
+from seamline.session import written
 
 QUERY_BLOCK = 512
 ROW_BLOCK = 4096
+#: Query rows that are sent to all tasks; more meet the rows block by block in a product of partitions.
+MOST_BROADCAST = 100_000
 
 
 def usable(vectors: DataFrame, dim: int, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
@@ -61,7 +64,10 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, dim: int = 64, dig
                     names=["question_id", "chunk_id", "score"],
                 )
 
-    blocks = left.crossJoin(right).select("q_ids", "q_flat", "v_ids", "v_flat")
+    # Blocks are packed once and read back; query blocks go to all tasks only below a checked number of rows.
+    left, right = written(left), written(right)
+    few = left.agg(F.coalesce(F.sum(F.length("q_ids")), F.lit(0)).alias("bytes")).first().bytes <= 8 * MOST_BROADCAST
+    blocks = right.crossJoin(F.broadcast(left) if few else left).select("q_ids", "q_flat", "v_ids", "v_flat")
     scored = blocks.mapInArrow(score, "question_id bigint, chunk_id bigint, score double")
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc("chunk_id"))
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("question_id", "rank", "chunk_id", "score")

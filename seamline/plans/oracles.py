@@ -52,8 +52,12 @@ gh AS (SELECT question_id, gold_id, max(CASE WHEN hi.chunk_id IS NOT NULL AND ({
 pq AS (SELECT question_id, count(gold_id) AS n_gold, coalesce(sum(hit), 0)::BIGINT AS n_found, CASE WHEN count(gold_id) > 0 THEN sum(hit)::DOUBLE / count(gold_id) ELSE 0.0 END AS recall FROM (SELECT question_id FROM qu) LEFT JOIN gh USING (question_id) GROUP BY ALL)"""
 
 
+def _vectors(source: str, id_col: str) -> str:
+    return f"""v AS (SELECT {id_col}::BIGINT AS chunk_id, any_value(embedding)::DOUBLE[] AS e FROM {source} WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY ALL)"""
+
+
 def _knn(source: str, id_col: str) -> str:
-    return f"""WITH v AS (SELECT {id_col}::BIGINT AS chunk_id, any_value(embedding)::DOUBLE[] AS e FROM {source} WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY ALL),
+    return f"""WITH {_vectors(source, id_col)},
 s AS (SELECT q.chunk_id AS question_id, v.chunk_id, round(list_dot_product(q.e, v.e), 6) AS score FROM v q, v WHERE q.chunk_id % 50 = 0)
 SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) - 1 AS rank, chunk_id, score FROM s) WHERE rank < 10"""
 
@@ -94,6 +98,12 @@ SELECT question_id, rank::INT AS rank, chunk_id, score FROM (SELECT *, row_numbe
     "hybrid_rrf_topk": f"""WITH {_search(_QUESTIONS)}, {_HITS},
 bo AS (SELECT question_id, chunk_id, rank, rank AS place FROM tk UNION ALL SELECT question_id, chunk_id, min(rank), 1000000000 + min(rank) FROM hi GROUP BY question_id, chunk_id),
 fu AS (SELECT question_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(place) AS place FROM bo GROUP BY ALL)
+SELECT question_id, rank::INT AS rank, chunk_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, place) - 1 AS rank FROM fu) WHERE rank < 10""",
+    "hybrid_vector_topk": f"""WITH {_vectors("chunk_vectors", "chunk_id")}, {_search("qu AS (SELECT chunk_id AS question_id, content AS question FROM ch WHERE chunk_id % 50 = 0 AND chunk_id IN (SELECT chunk_id FROM v))")},
+vs AS (SELECT q.chunk_id AS question_id, v.chunk_id, round(list_dot_product(q.e, v.e), 6) AS score FROM v q, v WHERE q.chunk_id IN (SELECT question_id FROM qu)),
+vk AS (SELECT * FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM vs) WHERE rank < 10),
+bo AS (SELECT question_id, chunk_id, rank, rank AS place FROM tk UNION ALL SELECT question_id, chunk_id, rank, 1000000000 + rank FROM vk),
+fu AS (SELECT question_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(place) AS place FROM bo GROUP BY ALL)
 SELECT question_id, rank::INT AS rank, chunk_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, place) - 1 AS rank FROM fu) WHERE rank < 10""",
     "cache_lookup": f"WITH {_QUESTIONS}, {_HITS}, {_CACHE} SELECT question_id, rank, chunk_id, score FROM qu JOIN ca ON qu.question = ca.query",
     "cache_misses": f"WITH {_QUESTIONS}, {_HITS}, {_CACHE} SELECT question_id, question FROM qu WHERE question NOT IN (SELECT query FROM ca)",

@@ -228,6 +228,16 @@ def hybrid_rrf_topk(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.fuse(fresh, first, K)
 
 
+@query
+def hybrid_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword hits fused with vector hits: the stated query set asks with its own text and its own vector."""
+    vectors = vector.usable(table(spark, sf, "chunk_vectors"), DIM)
+    asked, chunks = _query_vectors(vectors), _chunks(spark, sf)
+    questions = chunks.join(asked.select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("question_id"), F.col("content").alias("question"))
+    by_vector = vector.knn_exact(asked.join(questions.select(F.col("question_id").alias("chunk_id")), "chunk_id", "left_semi"), vectors, K, DIM)
+    return fusion.fuse(lexical.bm25_search(chunks, questions, K), by_vector, K)
+
+
 @query
 def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
     hits, _ = cache.split_by_cache(_questions(spark, sf), _cache(spark, sf), K, "keyword", "v1")
@@ -309,12 +319,8 @@ def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def evaluate_multi_k(spark: SparkSession, sf: str) -> DataFrame:
     """Recall at 1, 3, 5 and 10 from one ranking."""
-    questions, hits = _questions(spark, sf), _hits(spark, sf)
-    out = None
-    for k in (1, 3, 5, 10):
-        part = recall.mean_recall(recall.recall_per_question(questions, hits, k)).select(F.lit(k).alias("k"), F.round("recall", 9).alias("recall"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = recall.recall_at(_questions(spark, sf), _hits(spark, sf), (1, 3, 5, 10))
+    return rows.select("k", F.round("recall", 9).alias("recall"))
 
 
 # --- chunking ------------------------------------------------------------------------------------------------
