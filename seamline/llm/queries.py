@@ -130,6 +130,16 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.withColumnRenamed("id", "file_id")
 
 
+ORACLES["p4_found"] = r"""WITH RECURSIVE f AS (SELECT file_id, any_value(content) AS c, any_value(lower(path)) LIKE '%.md' AS md FROM source_files WHERE len(content) > 2000 AND regexp_matches(content, '\S') GROUP BY file_id),
+l AS (SELECT file_id, c, coalesce(md, false) AS md, len(c) AS n, list_concat([0], list_filter(range(1, len(c) + 1), lambda i: substr(c, i, 1) = chr(10))) AS lin, list_filter(range(1, len(c) + 1), lambda i: substr(c, i, 1) = ' ') AS wrd FROM f),
+p AS (SELECT file_id, n, lin, wrd, list_filter(lin, lambda x: regexp_matches(substr(c, x + 1, 12), CASE WHEN md THEN '^#{1,6} ' ELSE '^(def |class |async def |function |func )' END)) AS sec,
+list_transform(list_filter(range(2, len(lin) + 1), lambda j: regexp_full_match(substr(c, lin[j - 1] + 1, lin[j] - lin[j - 1]), '[ \t\r]*\n')), lambda j: lin[j]) AS par FROM l),
+r AS (SELECT file_id, 0::BIGINT AS s, 0::BIGINT AS e, 0 AS step FROM p
+UNION ALL SELECT r.file_id, CASE WHEN step = 0 THEN 0 ELSE e - 200 END AS b, CASE WHEN n - b <= 2000 THEN n ELSE coalesce(list_max(list_filter(sec, lambda x: x >= b + 1000 AND x <= b + 2000)), list_max(list_filter(par, lambda x: x >= b + 1000 AND x <= b + 2000)),
+list_max(list_filter(lin, lambda x: x >= b + 1000 AND x <= b + 2000)), list_max(list_filter(wrd, lambda x: x >= b + 1000 AND x <= b + 2000)), b + 2000) END, step + 1 FROM r JOIN p USING (file_id) WHERE step = 0 OR e < n)
+SELECT file_id, s AS start_index, e AS end_index FROM r WHERE step > 0"""
+
+
 # --- 5: functions with their documentation -------------------------------------------------------------------
 
 

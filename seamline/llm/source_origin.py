@@ -48,7 +48,7 @@ ESCAPES = 0.1
 #: Copies: similarity of the sets of five words to a reference copy.
 COPY_SIMILARITY = 0.8
 #: Foreign: a module name this many bits likelier in the reference copies than in the language. A name marks its
-#: repository where it is as many bits likelier there than in the language and in this share of its files.
+#: repository where it is as many bits likelier there than in others and in this share of its files.
 FOREIGN_BITS = 2.0
 OWN_SHARE = 0.25
 #: A pair of tool comments that encloses this share of the code stands for the tool's work.
@@ -312,7 +312,8 @@ def foreign_files(found: DataFrame, references: DataFrame) -> DataFrame:
     """(file_id) of files (file_id, repo, language, roots) that name modules of the references and none of their own repository.
 
     A module name is foreign where it is FOREIGN_BITS likelier in the files of the references (language, roots) than in
-    all files of the language, and marks a repository where it is as much likelier there and in OWN_SHARE of its files.
+    all files of the language, and marks a repository where it is in OWN_SHARE of its files and as much likelier there than
+    in those of others.
     """
     sizes = found.where(F.size("roots") > 0).groupBy("repo", "language").agg(F.count("*").alias("files"))
     whole = sizes.groupBy("language").agg(F.sum("files").alias("all_files"))
@@ -324,8 +325,8 @@ def foreign_files(found: DataFrame, references: DataFrame) -> DataFrame:
     ref_roots = there.select("language", F.explode("roots").alias("root")).groupBy("language", "root").agg(F.count("*").alias("ref_n")).join(ref_files, "language")
     foreign = ref_roots.join(everywhere, ["language", "root"]).where(F.log2((F.col("ref_n") + 1) / (F.col("ref_files") + 1) / in_language) >= FOREIGN_BITS)
     own = used.join(sizes, ["repo", "language"]).join(everywhere, ["language", "root"])
-    in_repo = F.col("n") / F.col("files")
-    own = own.where((in_repo >= OWN_SHARE) & (F.log2(in_repo / in_language) >= FOREIGN_BITS))
+    in_repo, elsewhere = F.col("n") / F.col("files"), (F.col("all_n") - F.col("n")) / F.greatest(F.col("all_files") - F.col("files"), F.lit(1))
+    own = own.where((in_repo >= OWN_SHARE) & (in_repo >= 2.0**FOREIGN_BITS * elsewhere))
     # A row for each language and for each repository: a name in a quarter of the files can only be one of a few.
     foreign = foreign.groupBy("language").agg(F.collect_set("root").alias("foreign_roots"))
     own = own.groupBy("repo", "language").agg(F.collect_set("root").alias("own_roots"))

@@ -2,6 +2,7 @@
 
 import random
 
+from seamline.llm import source_origin as so
 from seamline.llm.source_origin import file_origins
 
 NAMES = "load store index merge shard vector window bucket record header queue cache worker socket page driver".split()
@@ -67,3 +68,27 @@ def test_very_long_file(spark):
     df = spark.createDataFrame([(1, "a.py", text, "mine")], "file_id bigint, path string, content string, repo string")
     none = spark.createDataFrame([], "ref_id bigint, content string")
     assert file_origins(df, none).count() == 1
+
+
+def test_edge_comments_of_any_type():
+    far = "text\n" * 2000
+    assert "tool" in so.edge_comments("a.md", "---\ntitle: x\n---\n<!-- made by tool -->\n# T\n" + far, [])
+    assert "tool" in so.edge_comments("a.md", "# T\n" + far + "<!-- made by tool -->\n", [])
+    assert "tool" not in so.edge_comments("a.md", "# T\n" + far + "<!-- made by tool -->\nmore\n", [])
+    assert "others" in so.edge_comments("a.yaml", "# first\n# (c) others\nkey: 1  # inside\n", []) and "inside" not in so.edge_comments("a.yaml", "# first\nkey: 1  # inside\nlast: 2\n", [])
+    assert "tool" in so.edge_comments("q.sql", "SELECT 1;\n-- made by tool", []) and so.edge_comments("a.unknown", "# x", []) == "" and so.edge_comments(None, "# x", []) == ""
+
+
+def test_names_tell(spark):
+    """Foreign modules, mangled names and repeated shapes are told by names alone; own files that use the library are not."""
+    rng = random.Random(6)
+    files = [(i, f"src/m{i}.py", hand(rng, "mine" if i < 40 else "yours"), "mine" if i < 40 else "yours") for i in range(80)]
+    files += [(100, "lib/a.py", hand(rng, "otherlib"), "mine"), (101, "src/b.py", "import otherlib.net\n" + hand(rng, "mine"), "mine")]
+    files += [(102, "web/x.js", mangled(rng), "mine"), (103, "src/t.py", "ROWS = [" + "{'a': 1, 'b': 'x'}, " * 200 + "]\n", "mine")]
+    df = spark.createDataFrame(files, "file_id bigint, path string, content string, repo string")
+    upstream = spark.createDataFrame([(i, f"otherlib/u{i}.py", hand(rng, "otherlib")) for i in range(6)], "ref_id bigint, path string, content string")
+    got = {r.file_id: r for r in file_origins(df, upstream).collect()}
+    assert {i for i, r in got.items() if r.foreign} == {100} and got[100].vendored
+    assert {i for i, r in got.items() if r.low_diversity} == {103} and got[103].data
+    assert got[102].packed
+    assert not any(got[i].generated or got[i].packed or got[i].data or got[i].vendored for i in [*range(80), 101])
