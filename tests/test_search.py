@@ -115,3 +115,18 @@ def test_fusion(spark):
     order = lambda q: [r.chunk_id for r in sorted((r for r in got if r.question_id == q), key=lambda r: r.rank)]
     assert order("a") == [1, 3, 4, 2] and order("b") == [1, 3, 2, 4]
     assert rows(fusion.fuse(first, second.where("false"), 1), "question_id", "chunk_id") == [("a", 1), ("b", 1)]
+
+
+def test_hybrid_query_moves_no_postings(spark, monkeypatch, tmp_path):
+    """Keyword hits of more questions than are sent at a time, fused with recorded ones; neither postings nor pairs are shuffled."""
+    from seamline.plans.queries import QUERIES
+
+    spark.createDataFrame([(i, t, f"f{i}", 0, len(t)) for i, t in DOCS.items()], "id bigint, content string, file_path string, start_index bigint, end_index bigint").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([(q, t, []) for q, t in ASKED.items()], "question_id string, question string, sources array<struct<file_path:string>>").write.parquet(str(tmp_path / "questions.parquet"))
+    spark.createDataFrame([("q1", 0, 3, 1.0), ("q4", 0, 2, 1.0)], "question_id string, hit_rank int, chunk_id bigint, score double").write.parquet(str(tmp_path / "search_hits.parquet"))
+    monkeypatch.setattr(lexical, "MOST_QUESTIONS", 1)
+    monkeypatch.setattr(lexical, "bm25_postings", lambda *_: 1 / 0)
+    got = rows(QUERIES["hybrid_rrf_topk"](spark, str(tmp_path)), "question_id", "rank", "chunk_id")
+    best = {q: [i for _, i in plain_bm25(DOCS, t)] for q, t in ASKED.items()}
+    order = {**best, "q1": [best["q1"][0], 3, *best["q1"][1:]], "q4": [2]}
+    assert got == sorted((q, k, i) for q, ids in order.items() for k, i in enumerate(ids))
