@@ -25,23 +25,19 @@ from pyspark.sql import functions as F
 from seamline.llm.words import blocks
 from seamline.session import written
 
-#: Variants of one stripped text that the others are aligned with: the most frequent ones. They only teach mappings; the
-#: mappings are applied to all records.
-HUBS = 32
+#: Aligned pairs that leave a task at a time.
+_PAIRS = 50_000
 #: Texts and places in which a sequence, and a mapping of single characters, must be seen.
 VOTES = 2
 SINGLE_VOTES = 3
 #: Part of the votes on a piece that one character needs, and part of a pair's characters that other mappings explain.
 SHARE = 0.4
 AGREE = 0.6
-#: Likely characters of a piece that a round hands on, and the probability of all others.
-LIKELY = 8
+#: Probability of a character of a piece, at least: a round hands on all characters above it.
 _FLOOR = 0.003
 #: Votes of a sequence, at least, for each text in which others are aligned across its bounds.
 CROSSED = 0.5
 ROUNDS = 5
-#: Mappings of single characters looked for, one encoding each; the search ends before where nothing more is found.
-TABLES = 12
 LOST = "�"
 
 _QUOTED = re.compile(r"`[^`\n]*`")
@@ -292,22 +288,31 @@ def _ordered(a: str, b: str) -> tuple[str, str, list[tuple[str, str]]] | None:
 
 
 def _twins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(garbled, clean, single, n) of the variants of each key, each with the most frequent ones before it; n is the number
-    of texts with the garbled one. Rows (key, word, n) come sorted by key and falling n."""
+    """(garbled, clean, single, n) of all pairs of variants of each key; n is the number of texts with the garbled one. Rows
+    (key, word, n) come sorted by key and falling n. Only variants with runs in the same places can be aligned."""
     schema = pa.schema([("garbled", pa.string()), ("clean", pa.string()), ("single", pa.bool_()), ("n", pa.int64())])
-    now, hubs = None, []
+    names: list[str] = schema.names
+    now, hubs = None, {}
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, schema.field(x).type) for c, x in zip(zip(*out, strict=True), names, strict=True)], schema=schema)
+
+    out: list[tuple] = []
     for batch in batches:
-        out = []
         for key, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != now:
-                now, hubs = key, []
-            for hub, more in hubs:
+                now, hubs = key, {}
+            places = tuple(_runs(word))
+            for hub, more in hubs.get(places, ()):
                 if (told := _ordered(word, hub)) is not None:
                     out.append((told[0], told[1], all(len(g) == len(c) for g, c in told[2]), n if told[0] == word else more))
-            if len(hubs) < HUBS and LOST not in word:
-                hubs.append((word, n))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            if LOST not in word:
+                hubs.setdefault(places, []).append((word, n))
+            if len(out) >= _PAIRS:
+                yield packed(out)
+                out = []
+    if out:
+        yield packed(out)
 
 
 def _across(found: list[tuple[str, str]], longest: int) -> Iterator[str]:
@@ -372,7 +377,7 @@ def _votes(table: dict[str, dict[str, float]], known: dict[str, str], single: bo
 
 
 def _taught(pairs: DataFrame, single: bool, explained: list[dict[str, str]]) -> dict[str, str]:
-    """The character of every piece by the votes of the last round. At most LIKELY rows for each piece are collected:
+    """The character of every piece by the votes of the last round. The characters above _FLOOR are collected for each piece:
     pieces are the garbled forms of characters, so they are bounded by the alphabet, not by the records."""
     table: dict[str, dict[str, float]] = {}
     known: dict[str, str] = {}
@@ -382,8 +387,9 @@ def _taught(pairs: DataFrame, single: bool, explained: list[dict[str, str]]) ->
         turn += 1
         votes = pairs.mapInArrow(_votes(table, known, single, explained), "piece string, char string, votes bigint").repartition("piece")
         votes = votes.groupBy("piece", "char").agg(F.sum("votes").alias("votes"))  # tasks have counted before; one shuffle serves both sums
-        ranked = F.slice(F.sort_array(F.collect_list(F.when(F.col("char").isNotNull(), F.struct("votes", "char"))), False), 1, LIKELY)
-        rows = votes.groupBy("piece").agg(ranked.alias("best"), F.sum(F.when(F.col("char").isNotNull(), F.col("votes"))).alias("all"), F.max(F.when(F.col("char").isNull(), F.col("votes"))).alias("crossed")).where(F.size("best") > 0).collect()
+        ranked = F.sort_array(F.collect_list(F.when(F.col("char").isNotNull(), F.struct("votes", "char"))), False)
+        rows = votes.groupBy("piece").agg(ranked.alias("best"), F.sum(F.when(F.col("char").isNotNull(), F.col("votes"))).alias("all"), F.max(F.when(F.col("char").isNull(), F.col("votes"))).alias("crossed")).where(F.size("best") > 0)
+        rows = rows.withColumn("best", F.filter("best", lambda b: b["votes"] > _FLOOR * F.col("all"))).where(F.size("best") > 0).collect()
         table = {r.piece: {b.char: b.votes / r["all"] for b in r.best} for r in rows}
         last = turn == ROUNDS - 1
         chosen = {r.piece: (r.best[0].votes, r.best[0].char) for r in rows if r.best[0].votes >= least and (not last or r.best[0].votes >= max(SHARE * r["all"], CROSSED * (r.crossed or 0)))}
@@ -426,7 +432,8 @@ def learn(records: DataFrame, text_col: str = "text") -> tuple[Mappings, DataFra
     # Single characters are learned from words that hold no such sequence: else one garbled form votes for another.
     others = twins.where("single").select("garbled", "clean", "n").mapInArrow(_without_sequences(Mappings(sequences, [], False)), "garbled string, clean string, n bigint")
     tables: list[dict[str, str]] = []
-    while len(tables) < TABLES and (table := _taught(others, True, tables)) and not any(table.items() <= t.items() for t in tables):
+    # One encoding each. The words that a table explains no longer vote, so the search ends: at last nothing new is found.
+    while (table := _taught(others, True, tables)) and not any(table.items() <= t.items() for t in tables):
         tables.append(table)
     # A lost character stands where twins have different ones.
     lost_words = words.where(F.col("word").contains(LOST)).select("key", F.col("word").alias("damaged"))

@@ -143,3 +143,14 @@ def test_long_words(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     assert rows(en.garbled_records(df)) == [(10,), (11,), (12,)]
     assert all(r.restored == clean[r.id - 10] for r in en.restored_records(df).collect())
+
+
+def test_all_variants_of_a_key_are_aligned():
+    """A garbled form and its clean one find each other however many more frequent variants their key has."""
+    import pyarrow as pa
+
+    letters = [chr(c) for c in range(0x3B1, 0x3B1 + 60) if chr(c).isalpha()][:40]
+    words = [*(f"d{c}bit" for c in letters), "dÃ©bit", "débit"]
+    batch = pa.record_batch([pa.array([1] * len(words)), pa.array(words), pa.array([*[9] * len(letters), 2, 1])], names=["key", "word", "n"])
+    found = {(r["garbled"], r["clean"]): r["n"] for b in en._twins(iter([batch])) for r in b.to_pylist()}
+    assert found[("dÃ©bit", "débit")] == 2
