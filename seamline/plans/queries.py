@@ -222,7 +222,7 @@ def rrf_score_table(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def hybrid_rrf_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded hits fused with fresh keyword hits."""
-    fresh = lexical.bm25_search(_chunks(spark, sf), _questions(spark, sf), K)
+    fresh = lexical.bm25_search(lexical.distinct_chunks_in_place(table(spark, sf, "chunks")), _questions(spark, sf), K)
     recorded = _hits(spark, sf).select("question_id", "rank", "chunk_id")
     first = recorded.groupBy("question_id", "chunk_id").agg(F.min("rank").alias("rank"))
     return fusion.fuse(fresh, first, K)

@@ -130,3 +130,32 @@ def test_hybrid_query_moves_no_postings(spark, monkeypatch, tmp_path):
     best = {q: [i for _, i in plain_bm25(DOCS, t)] for q, t in ASKED.items()}
     order = {**best, "q1": [best["q1"][0], 3, *best["q1"][1:]], "q4": [2]}
     assert got == sorted((q, k, i) for q, ids in order.items() for k, i in enumerate(ids))
+
+
+@pytest.mark.parametrize("marks", [64, 1 << 24])
+def test_only_texts_of_repeated_ids_are_moved(spark, monkeypatch, marks):
+    monkeypatch.setattr(lexical, "MARKS", marks)
+    data = [(i * 977 - 5, f"text {i}") for i in range(300)] + [(-5, "other"), (-5, "text 0"), (972, None), (None, "x"), (None, "y"), (7, None), (8, "a"), (8, "a")]
+    chunks = spark.createDataFrame(data, "id bigint, content string")
+    assert rows(lexical.distinct_chunks_in_place(chunks)) == rows(lexical.distinct_chunks(chunks))
+    marked = lexical.marked_rows(chunks.where("id is not null and content is not null"), "id")
+    assert rows(marked.where("several"), "id", "content") == sorted([(-5, "text 0"), (-5, "other"), (-5, "text 0"), (8, "a"), (8, "a")], key=repr) or marks == 64
+    assert lexical.distinct_chunks_in_place(chunks.where("false")).count() == 0
+
+
+def test_pairs_grow_with_the_questions_and_not_with_the_tasks(spark, monkeypatch):
+    docs = {i: f"word{i % 7} word{i % 11} word{i % 13}" for i in range(3000)}
+    asked = {f"q{i}": f"word{i} word{i + 1}" for i in range(12)}
+    ranked, rank = [], lexical.top_k
+    monkeypatch.setattr(lexical, "top_k", lambda scores, *a: ranked.append(scores.count()) or rank(scores, *a))
+    monkeypatch.setattr(lexical, "PAIRS_PER_CHUNK", 0.01, raising=False)
+    chunks = spark.createDataFrame(list(docs.items()), "chunk_id bigint, content string").repartition(40)
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # a task for each file
+    try:
+        got = lexical.bm25_search(chunks, spark.createDataFrame(list(asked.items()), "question_id string, question string"), 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(ranked) <= cores * 2 * 3 * len(asked)
+    for q, text in asked.items():
+        assert sorted((r.rank, r.chunk_id, r.score) for r in got if r.question_id == q) == [(k, i, s) for k, (s, i) in enumerate(plain_bm25(docs, text)[:3])]
